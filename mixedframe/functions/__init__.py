@@ -15,3 +15,4 @@ from .scalars import (
     year_of,
     years_in_service,
 )
+from .normal import CENTRE_DEN, CENTRE_NUM, MIDDLE_DEN, MIDDLE_NUM, TAIL_DEN, TAIL_NUM

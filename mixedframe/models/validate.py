@@ -51,7 +51,7 @@ def tune(make: Callable[..., Estimator], df: DataFrame, key: str, target: str, f
     prepared = feature_pipeline(df, target, features, onehot).fit(df)
     table = stage(
         prepared.transform(df).select(F.col(key).alias("key"), fold_of(key, k).alias("fold"), LABEL, FEATURES),
-        "folds",
+        "folds", by="fold",
     )
     labels, levels = class_labels(prepared), widest_category(prepared)
 
@@ -73,7 +73,7 @@ def cross_validate(estimator: Estimator, df: DataFrame, key: str, target: str, f
 def cross_validate_knn(df: DataFrame, key: str, target: str, features: Sequence[str] | str, neighbours: int = 7,
                        k: int = 10, **options) -> DataFrame:
     """Held-out predictions of the nearest-neighbour classifier."""
-    table = stage(df.withColumn("fold", fold_of(key, k)), "folds")
+    table = stage(df.withColumn("fold", fold_of(key, k)), "folds", by="fold")
     parts = []
     for fold in range(k):
         test = table.filter(F.col("fold") == fold)
@@ -133,7 +133,7 @@ def rfe(make: Callable[[int], Estimator], df: DataFrame, key: str, target: str,
     slot = {c: (f"{c}__ix" if f"{c}__ix" in prepared.stages[-1].getInputCols() else c) for c in features}
     table = stage(
         prepared.transform(df).select(F.col(key).alias("key"), fold_of(key, k).alias("fold"), LABEL, *slot.values()),
-        "folds",
+        "folds", by="fold",
     )
 
     def vectors(names: Sequence[str], rows: DataFrame) -> DataFrame:

@@ -47,13 +47,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"mixedframe-{label}-{uuid.uuid4().hex}")
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back.
+def stage(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder once and read it back, split into folders by ``by``.
 
     Used where several jobs need the same rows (folds of one cross-validation,
     both sides of a fitted neighbour search): it cuts the lineage, and a lost
     executor only costs a re-read.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.parquet(path)
