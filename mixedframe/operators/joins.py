@@ -39,8 +39,8 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> D
     names = stats.columns
     packed = stats.select(F.struct(*names).alias("s")).scalar()
     return (
-        df.withColumn("__s", packed)
-        .select(*df.columns, *[F.col(f"__s.{n}").alias(n) for n in names])
+        df.withColumn("__attached", packed)
+        .select(*df.columns, *[F.col(f"__attached.{n}").alias(n) for n in names])
     )
 
 

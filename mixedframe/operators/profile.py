@@ -173,8 +173,13 @@ def share_of_groups(df: DataFrame, keys: Sequence[str], value: str, pred, name:
 
 def imputation_audit(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """Groups whose median was moved by an imputation."""
-    medians = join_null_safe(
-        exact_median(df, before, [key], "median_before"), exact_median(df, after, [key], "median_after"), [key]
+    columns = {before: "median_before", after: "median_after"}
+    long = df.select(key, *[F.col(c).cast("double").alias(name) for c, name in columns.items()]).unpivot(
+        [key], list(columns.values()), "which", "value"
+    )
+    each = exact_median(long, "value", [key, "which"])
+    medians = each.groupBy(key).agg(
+        *[F.max(F.when(F.col("which") == name, F.col("median"))).alias(name) for name in columns.values()]
     )
     return medians.filter(F.col("median_before") != F.col("median_after"))
 

@@ -356,7 +356,7 @@ def ordered_categories(t):
 @query(
     "geo_grid",
     """
-    WITH c AS (SELECT round_even(embedding[1]::DOUBLE, 2) AS cell_lat, round_even(embedding[2]::DOUBLE, 2) AS cell_lon, label FROM embeddings)
+    WITH c AS (SELECT round_even(embedding[1]::DOUBLE, 2) + 0.0::DOUBLE AS cell_lat, round_even(embedding[2]::DOUBLE, 2) + 0.0::DOUBLE AS cell_lon, label FROM embeddings)
     SELECT cell_lat, cell_lon, label, count(*) AS n,
            regexp_replace(cell_lat::VARCHAR, '\\.0$', '') || ':' || regexp_replace(cell_lon::VARCHAR, '\\.0$', '') AS latlong
     FROM c GROUP BY ALL

@@ -25,7 +25,7 @@ def drop_cols(t):
     """
     SELECT l_orderkey, l_linenumber,
            round(l_extendedprice * (1 - l_discount), 4) AS net_price,
-           round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge
+           round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge
     FROM lineitem
     """,
 )
@@ -33,7 +33,7 @@ def derive_cols(t):
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     out = shaping.derive(
         t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax"),
-        {"net_price": F.round(net, 4), "charge": F.round(net * (1 + F.col("l_tax")), 4)},
+        {"net_price": F.round(net, 4), "charge": F.round(net * (1 + F.col("l_tax")), 6)},
     )
     return shaping.keep(out, ["l_orderkey", "l_linenumber", "net_price", "charge"])
 
