@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LABEL, FEATURES, PREDICTION = "label", "features", "predicted"
-MIN_BINS = 32
 
 
 def is_text(df: DataFrame, col: str) -> bool:
@@ -69,10 +68,11 @@ def class_labels(model: PipelineModel) -> list[str]:
 
 def with_bins(estimator: Estimator, levels: int) -> Estimator:
     """Trees need at least as many bins as the widest category has levels."""
-    inner = estimator.getClassifier() if estimator.hasParam("classifier") else estimator
-    if inner.hasParam("maxBins") and inner.getOrDefault("maxBins") < max(MIN_BINS, levels):
-        inner = inner.copy({inner.getParam("maxBins"): max(MIN_BINS, levels)})
-        return estimator.copy({estimator.getParam("classifier"): inner}) if estimator.hasParam("classifier") else inner
+    if estimator.hasParam("classifier"):
+        wrapped = estimator.copy()
+        return wrapped.setClassifier(with_bins(estimator.getClassifier(), levels))
+    if estimator.hasParam("maxBins") and estimator.getOrDefault("maxBins") < levels:
+        return estimator.copy({estimator.getParam("maxBins"): levels})
     return estimator
 
 

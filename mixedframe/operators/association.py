@@ -40,7 +40,8 @@ def column_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def _clip(r: Column, lo: float) -> Column:
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(lo))
+    # least() and greatest() skip nulls, so a missing r is kept apart
+    return F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(lo)))
 
 
 def _pearson(a: str, b: str) -> Column:

@@ -112,7 +112,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], keys:
     """Linear-interpolation quantiles per group: keys, one column per name in ``probs``.
 
     Only the bins that hold a wanted position are ordered; all others are dropped
-    after they are counted. A group with no non-null value has no row.
+    after they are counted. A group with no non-null value has no row; without keys the one row
+    is then null.
     """
     counted = df.select(*keys, F.col(value).cast("double").alias("__v"), F.lit(1).cast("long").alias("__n"))
     totals = _totals(counted, "__v", ["__n"], keys)
