@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
+
 LABEL, FEATURES, PREDICTION = "label", "features", "predicted"
 
 
@@ -77,9 +79,14 @@ def with_bins(estimator: Estimator, levels: int) -> Estimator:
 
 
 def fit_classifier(estimator: Estimator, df: DataFrame, target: str, features: Sequence[str], onehot: bool = False) -> PipelineModel:
-    """Fitted pipeline from raw columns to the text column ``predicted``."""
-    prepared = feature_pipeline(df, target, features, onehot).fit(df)
-    vectors = prepared.transform(df).select(LABEL, FEATURES)
+    """Fitted pipeline from raw columns to the text column ``predicted``.
+
+    Learners pass over their input several times, so the needed columns are computed
+    once and stored; ``df`` itself is read a single time.
+    """
+    rows = stage(df.select(target, *features), "train")
+    prepared = feature_pipeline(rows, target, features, onehot).fit(rows)
+    vectors = prepared.transform(rows).select(LABEL, FEATURES)
     fitted = with_bins(estimator, widest_category(prepared)).fit(vectors)
     back = IndexToString(inputCol="prediction", outputCol=PREDICTION, labels=class_labels(prepared))
     return PipelineModel([*prepared.stages, fitted, back])

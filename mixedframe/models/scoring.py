@@ -12,11 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import key_hash
+from ..session import stage
 from .features import PREDICTION, class_labels
 
 # R's machine epsilon: keeps the logarithm of a zero share finite
 EPSILON = 2.220446049250313e-16
 
+BLOCK_ROWS = 100_000
+
 
 def score(model: PipelineModel, df: DataFrame, key: str, output: str = "prediction") -> DataFrame:
     """(key, predicted class)."""
@@ -74,33 +77,45 @@ def importance_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def permuted(df: DataFrame, key: str, col: str, blocks: int, salt: str) -> DataFrame:
-    """``df`` with the values of one column moved to other rows.
+def permuted(df: DataFrame, key: str, cols: Sequence[str], blocks: int, salt: str = "", suffix: str = "__moved") -> DataFrame:
+    """``df`` with, for each listed column, its values moved to other rows as ``<col><suffix>``.
 
     Rows are dealt into blocks by a hash of the key and put in hash order; each row
-    takes the value of the next, the last that of the first. A random block is a
-    random set of rows, so no global order is needed.
+    takes the values of the next, the last those of the first. A random block is a
+    random set of rows, so no global order is needed, and all columns share one shuffle.
     """
     block = F.pmod(key_hash(key, f"{salt}-block"), F.lit(blocks))
     turn = W.partitionBy("__block").orderBy(key_hash(key, salt), key)
     whole = turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     last = F.row_number().over(turn) == F.count(F.lit(1)).over(W.partitionBy("__block"))
-    moved = F.when(last, F.first(col).over(whole)).otherwise(F.lead(col).over(turn))
-    return df.withColumn("__block", block).withColumn("__moved", moved).withColumn(col, F.col("__moved")).drop("__block", "__moved")
+    row = F.struct(*cols)
+    moved = F.when(last, F.first(row).over(whole)).otherwise(F.lead(row).over(turn))
+    return (
+        df.withColumn("__block", block).withColumn("__row", moved)
+        .select(*df.columns, *[F.col(f"__row.{c}").alias(c + suffix) for c in cols])
+    )
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, key: str, target: str, features: Sequence[str],
-                           blocks: int = 32, seed: int = 1) -> DataFrame:
+                           blocks: int | None = None, seed: int = 1) -> DataFrame:
     """(feature, accuracy, accuracy_drop): loss of accuracy when one column is shuffled.
 
-    ``blocks`` should grow with the table, about one per hundred thousand rows.
+    The rows are shuffled once for all columns, stored, and scored once per column.
+    ``blocks`` defaults to one per ``BLOCK_ROWS`` rows.
     """
-    def hits(rows: DataFrame, name: str) -> DataFrame:
+    if blocks is None:
+        blocks = 1 + df.select(key).count() // BLOCK_ROWS
+    rows = df.select(key, target, *features)
+    table = stage(permuted(rows, key, list(features), blocks, str(seed)), "permuted")
+
+    def hits(name: str) -> DataFrame:
+        moved = table.withColumn(name, F.col(f"{name}__moved")) if name in features else table
         right = (F.col(PREDICTION) == F.col(target)).cast("double")
-        return model.transform(rows).agg(F.lit(name).alias("feature"), F.avg(right).alias("accuracy"))
+        scored = model.transform(moved.select(target, *features))
+        return scored.agg(F.lit(name).alias("feature"), F.avg(right).alias("accuracy"))
 
-    base = hits(df, "none").select("accuracy")
-    parts = [hits(permuted(df, key, c, blocks, f"{seed}-{c}"), c) for c in features]
+    base = hits("none").select("accuracy")
+    parts = [hits(c) for c in features]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

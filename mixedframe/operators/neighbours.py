@@ -40,6 +40,7 @@ from ..session import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_PIVOTS = 2048
+HASH_RANGE = 2**32
 BLOCK_REFS = 8192
 BLOCK_QUERIES = 16384
 # relative slack on the pruning bound, far above rounding error
@@ -133,14 +134,14 @@ class NeighbourIndex:
     def fit(self, ref: DataFrame) -> NeighbourIndex:
         """Two passes: one picks pivots, one assigns the rows to cells and stores them."""
         rows = _with_vector(ref, self.features).select(F.col(self.key).alias("__key"), "__v", *self.payload)
-        count = rows.count()
-        if count == 0:
+        # the rows with the smallest key hashes: a random choice that is the same on every run
+        picked = rows.select(key_hash("__key").alias("h"), "__key", "__v").orderBy("h", "__key").limit(MAX_PIVOTS).collect()
+        if not picked:
             raise ValueError("the reference table has no complete row")
+        # fewer rows than asked for are all rows; otherwise the largest hash tells how many there are
+        count = len(picked) if len(picked) < MAX_PIVOTS else len(picked) * HASH_RANGE / (picked[-1]["h"] + 1)
         wanted = self.n_pivots or int(np.ceil(np.sqrt(count)))
-        picked = (
-            rows.orderBy(key_hash("__key"), "__key").select("__v").limit(max(1, min(wanted, MAX_PIVOTS))).collect()
-        )
-        pivots = np.unique(np.array([r[0] for r in picked], dtype=float), axis=0)
+        pivots = np.unique(np.array([r["__v"] for r in picked[:wanted]], dtype=float), axis=0)
         empty = np.zeros(len(pivots))
         index = Cells(pivots, empty, empty, empty, np.zeros((len(pivots), 0)))
 

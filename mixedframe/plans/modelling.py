@@ -104,7 +104,7 @@ def importance_table(t):
 def permutation_importance(t):
     rows = _table(t)
     model = fit_classifier(_forest(), rows, TARGET, FEATURES)
-    return scoring.permutation_importance(model, rows, KEY, TARGET, FEATURES, blocks=8)
+    return scoring.permutation_importance(model, rows, KEY, TARGET, FEATURES)
 
 
 @query("tuning_results")

@@ -106,21 +106,19 @@ class WellsCleanerModel:
     population: NeighbourIndex
 
     def transform(self, df: DataFrame) -> DataFrame:
-        cleaned = self.years.transform(row_cleaning(df))
+        rows = self.years.transform(row_cleaning(df))
+        cleaned = rows
         for output, lumper in self.lumpers.items():
             cleaned = lumper.transform(cleaned, output)
         cleaned = cleaned.drop("funder_name", "installer_name")
         cleaned = impute_group_median(cleaned, "region_code", "population", output="population2")
         cleaned = cleaned.withColumn("pop_log2", log10_or_zero("population2"))
-        return self._neighbour_population(cleaned)
-
-    def _neighbour_population(self, df: DataFrame) -> DataFrame:
-        """``pop_log3``: a well without a known population gets the mean of its nearest known wells."""
+        # a well without a known population gets the mean of its nearest known wells
         missing = F.col("pop_log") == 0
-        near = self.population.join(df.filter(missing), KEY)
+        near = self.population.join(rows.filter(missing).select(KEY, "latitude", "longitude"), KEY)
         means = near.groupBy(KEY).agg(F.avg("pop_log").alias("__mean"))
         filled = F.when(missing, F.col("__mean")).otherwise(F.col("pop_log"))
-        return df.join(means, KEY, "left").withColumn("pop_log3", filled).drop("__mean")
+        return cleaned.join(means, KEY, "left").withColumn("pop_log3", filled).drop("__mean")
 
 
 class WellsCleaner:

@@ -47,6 +47,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"mixedframe-{label}-{uuid.uuid4().hex}")
 
 
+_staged: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables this process staged; call it when their readers are done."""
+    removed = 0
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
+
+
 def stage(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back, split into folders by ``by``.
 
@@ -55,6 +67,7 @@ def stage(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFra
     executor only costs a re-read.
     """
     path = scratch_path(df.sparkSession, label)
+    _staged.append(path)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -99,10 +99,10 @@ def test_importance(spark, table, rf):
 
 
 def test_permutation_keeps_values_and_importance_ranks(table, rf):
-    moved = scoring.permuted(table, "id", "x", 4, "s")
-    old, new = table.toPandas().sort_values("id"), moved.toPandas().sort_values("id")
-    assert sorted(old["x"]) == sorted(new["x"]) and (old["x"].to_numpy() != new["x"].to_numpy()).mean() > 0.99
-    assert (old["y"].to_numpy() == new["y"].to_numpy()).all()
+    moved = scoring.permuted(table, "id", ["x", "cat"], 4).toPandas()
+    for c in ("x", "cat"):
+        assert sorted(moved[c]) == sorted(moved[f"{c}__moved"])
+    assert (moved["x"] != moved["x__moved"]).mean() > 0.99
     drops = {r.feature: r.accuracy_drop for r in scoring.permutation_importance(rf, table, "id", "status", FEATURES, 4).collect()}
     assert drops["x"] > 0.05 and abs(drops["noise"]) < 0.02
 
