@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage
+from ..session import spread, stage
 
 LABEL, FEATURES, PREDICTION = "label", "features", "predicted"
 
@@ -84,7 +84,7 @@ def fit_classifier(estimator: Estimator, df: DataFrame, target: str, features: S
     Learners pass over their input several times, so the needed columns are computed
     once and stored; ``df`` itself is read a single time.
     """
-    rows = stage(df.select(target, *features), "train")
+    rows = spread(stage(df.select(target, *features), "train"))
     prepared = feature_pipeline(rows, target, features, onehot).fit(rows)
     vectors = prepared.transform(rows).select(LABEL, FEATURES)
     fitted = with_bins(estimator, widest_category(prepared)).fit(vectors)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fold_of
 from ..operators.neighbours import knn_classify
-from ..session import stage
+from ..session import spread, stage
 from .features import FEATURES, LABEL, class_labels, feature_pipeline, widest_category, with_bins
 
 Setting = Mapping[str, object]
@@ -57,7 +57,7 @@ def tune(make: Callable[..., Estimator], df: DataFrame, key: str, target: str, f
 
     def run(job: tuple[Setting, int]) -> DataFrame:
         setting, fold = job
-        model = with_bins(make(**setting), levels).fit(table.filter(F.col("fold") != fold))
+        model = with_bins(make(**setting), levels).fit(spread(table.filter(F.col("fold") != fold)))
         return _predict(model, table.filter(F.col("fold") == fold), labels, setting_name(setting))
 
     with ThreadPool(parallelism) as pool:
@@ -143,7 +143,7 @@ def rfe(make: Callable[[int], Estimator], df: DataFrame, key: str, target: str,
         return with_bins(make(len(names)), levels).fit(vectors(names, rows))
 
     def run(fold: int) -> DataFrame:
-        train, test = table.filter(F.col("fold") != fold), table.filter(F.col("fold") == fold)
+        train, test = spread(table.filter(F.col("fold") != fold)), table.filter(F.col("fold") == fold)
         full = fit(features, train)
         ranking = _rank_features(full, features)
         parts = [_predict(full, vectors(features, test), labels, str(len(features)))]

@@ -43,6 +43,7 @@ MAX_PIVOTS = 2048
 HASH_RANGE = 2**32
 BLOCK_REFS = 8192
 BLOCK_QUERIES = 16384
+PAIRS_PER_TASK = 8
 # relative slack on the pruning bound, far above rounding error
 SLACK = 1e-9
 
@@ -226,6 +227,10 @@ class NeighbourIndex:
             .withColumn("__qblock", every("__qb"))
         )
         block = ["__cell", "__rblock", "__qblock"]
+        # the number of block pairs is known, and each is heavy on processor time
+        pairs = sum(r * q for _, r, q in shape)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS_PER_TASK)
+        left, right = left.repartition(tasks, *block), right.repartition(tasks, *block)
         payload, k = self.payload, self.wanted
         fields = {f.name: f for f in self.refs.schema}
         schema = T.StructType(
