@@ -13,6 +13,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
 from pyspark.ml.feature import IndexToString, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +38,17 @@ def _predict(model, test: DataFrame, labels: Sequence[str], setting: str) -> Dat
     scored = model.transform(test)
     for back in text:
         scored = back.transform(scored)
-    probability = [F.col("probability")] if "probability" in scored.columns else []
+    probability = []
+    if "probability" in scored.columns:
+        names = F.array(*[F.lit(v) for v in labels])
+        probability = [F.map_from_arrays(names, vector_to_array("probability")).alias("probability")]
     return scored.select(F.lit(setting).alias("setting"), "fold", "key", "obs", "pred", *probability)
 
 
 def tune(make: Callable[..., Estimator], df: DataFrame, key: str, target: str, features: Sequence[str],
          grid: Sequence[Setting] = ({},), k: int = 10, onehot: bool = False, parallelism: int = 2) -> DataFrame:
-    """Held-out predictions (setting, fold, key, obs, pred) of every setting in the grid.
+    """Held-out predictions (setting, fold, key, obs, pred) of every setting in the grid,
+    with a map ``probability`` (class to share) where the model gives one.
 
     ``make(**setting)`` builds the estimator. Level sets are those of the whole table.
     Fits of different folds and settings run at the same time, ``parallelism`` of them.

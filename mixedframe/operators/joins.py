@@ -49,10 +49,14 @@ def attach_scalar(df: DataFrame, aggregate: DataFrame) -> DataFrame:
     return attach_stats(df, aggregate)
 
 
+def settings(**lists: Sequence) -> list[dict]:
+    """Every combination of the given parameter lists."""
+    return [dict(zip(lists, values)) for values in product(*lists.values())]
+
+
 def grid(spark: SparkSession, **lists: Sequence) -> DataFrame:
-    """Every combination of the given value lists, one row each."""
-    names = list(lists)
-    return spark.createDataFrame(list(product(*lists.values())), names)
+    """Every combination of the given parameter lists, one row each."""
+    return spark.createDataFrame([tuple(s.values()) for s in settings(**lists)], list(lists))
 
 
 def bind_on_key(frames: Sequence[DataFrame], key: str) -> DataFrame:

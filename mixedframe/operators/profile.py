@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import round_half_even
 from .joins import attach_stats, join_null_safe
-from .ordered import dense_positions, exact_median, exact_quantiles
+from .ordered import approx_quantiles, dense_positions, exact_median, exact_quantiles
 
 MAX_LEVELS = 10_000
 
@@ -111,8 +111,12 @@ def _long_numbers(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> Da
     return numbers.unpivot(list(keys), list(cols), "column", "value")
 
 
-def numeric_summary(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """min, quartiles, mean and max per column; quartiles are exact (linear interpolation)."""
+def numeric_summary(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), approximate: bool = False) -> DataFrame:
+    """min, quartiles, mean and max per column.
+
+    Quartiles are exact (linear interpolation); ``approximate`` takes them from a
+    one-pass sketch instead.
+    """
     long = _long_numbers(df, cols, keys).filter(F.col("value").isNotNull())
     by = [*keys, "column"]
     plain = long.groupBy(*by).agg(
@@ -121,7 +125,8 @@ def numeric_summary(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()
         F.avg("value").alias("mean"),
         F.max("value").alias("max"),
     )
-    quartiles = exact_quantiles(long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    find = approx_quantiles if approximate else exact_quantiles
+    quartiles = find(long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     return join_null_safe(plain, quartiles, by).select(
         *by, "n", "min", "q1", "median", "mean", "q3", "max"
     )

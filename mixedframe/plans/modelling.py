@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import collapse_target
-from ..models import ensemble, scoring, validate
+from ..models import ensemble, evaluate, scoring, validate
 from ..models.estimators import boosted, forest, logistic
 from ..models.features import fit_classifier
+from ..operators.joins import settings
 from ..operators.profile import transitions
 from ..sources import load_model, save_model
 from ..session import scratch_path
@@ -109,11 +110,21 @@ def permutation_importance(t):
 
 @query("tuning_results")
 def tuning_results(t):
-    grid = [{"mtry": 2}, {"mtry": 4}]
-    held_out = validate.tune(lambda mtry: _forest(3, mtry), _table(t), KEY, TARGET, FEATURES, grid, k=3)
+    held_out = validate.tune(lambda mtry: _forest(3, mtry), _table(t), KEY, TARGET, FEATURES, settings(mtry=[2, 4]), k=3)
     return validate.summarize_folds(validate.fold_accuracy(held_out))
 
 
+@query("forest_roc")
+def forest_roc(t):
+    """Area under the ROC curve of each class from held-out class shares."""
+    held_out = validate.cross_validate(_forest(3), _table(t), KEY, TARGET, FEATURES, k=2)
+    parts = [
+        evaluate.roc_auc(held_out, F.col("probability")[c], F.col("obs") == c).withColumn("class", F.lit(c))
+        for c in ("F", "O", "P")
+    ]
+    return validate.union_all(parts)
+
+
 @query("rfe_results")
 def rfe_results(t):
     held_out, _ = validate.rfe(lambda n: _forest(3, min(3, n), 4), _table(t), KEY, TARGET, FEATURES, sizes=(2, 4), k=2)

@@ -174,16 +174,15 @@ def scalar_broadcast(t):
 )
 def param_grid(t):
     """Accuracy of the rule "price above the bound means this status" for every combination."""
-    settings = joins.grid(t.spark, bound=[100000, 250000, 400000], status=["F", "O", "P"])
     entries = [
         F.struct(
-            F.lit(s.bound).cast("long").alias("bound"),
-            F.lit(s.status).alias("status"),
+            F.lit(s["bound"]).cast("long").alias("bound"),
+            F.lit(s["status"]).alias("status"),
             F.round(
-                F.count_if((F.col("o_totalprice") > s.bound) == (F.col("o_orderstatus") == s.status)) / F.count("*"), 6
+                F.count_if((F.col("o_totalprice") > s["bound"]) == (F.col("o_orderstatus") == s["status"])) / F.count("*"), 6
             ).alias("accuracy"),
         )
-        for s in settings.collect()
+        for s in joins.settings(bound=[100000, 250000, 400000], status=["F", "O", "P"])
     ]
     return t("orders").agg(F.array(*entries).alias("e")).select(F.inline("e"))
 

@@ -123,6 +123,8 @@ def test_cross_validation_covers_every_row(table):
     assert held_out.select("key").distinct().count() == held_out.count() == 600
     summary = validate.summarize_folds(validate.fold_accuracy(held_out)).first()
     assert summary.k == 3 and summary.accuracy > 0.9
+    auc = evaluate.roc_auc(held_out, F.col("probability")["non functional"], F.col("obs") == "non functional").first()
+    assert auc.auc > 0.97 and auc.n_positive + auc.n_negative == 600
     assert summary.ci == pytest.approx(1.96 * summary.accuracy_sd / 3**0.5)
 
 

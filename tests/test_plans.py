@@ -8,7 +8,7 @@ from __spark_entry__ import queries
 
 PAIR_PRODUCTS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 MODEL_QUERIES = {
-    "ablation_results", "batch_scores", "boosted_scores", "forest_scores", "importance_rows", "importance_table",
+    "ablation_results", "batch_scores", "boosted_scores", "forest_roc", "forest_scores", "importance_rows", "importance_table",
     "logistic_scores", "model_roundtrip", "multinomial_scores", "nominal_forest", "partial_dependence",
     "permutation_importance", "rfe_results", "stacked_scores", "tuning_results", "what_if_shift",
 }

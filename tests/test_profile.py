@@ -81,6 +81,13 @@ def test_low_variance_and_nulls(wells):
     assert nulls == {"kind": (1, 5), "status": (0, 6), "pay": (0, 6)}
 
 
+def test_summary_exact_and_approximate(wells):
+    exact = profile.numeric_summary(wells, ["pay"]).first()
+    assert (exact.n, exact.min, exact.q1, exact.median, exact.q3, exact.max) == (6, 0.0, 1.25, 7.5, 77.5, 1000.0)
+    rough = profile.numeric_summary(wells, ["pay"], approximate=True).first()
+    assert rough.min == 0.0 and rough.median in (5.0, 10.0)
+
+
 def test_histogram_counts_every_row(spark):
     values = np.random.default_rng(0).normal(size=500)
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
