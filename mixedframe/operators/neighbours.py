@@ -44,8 +44,8 @@ HASH_RANGE = 2**32
 BLOCK_REFS = 8192
 BLOCK_QUERIES = 16384
 PAIRS_PER_TASK = 8
-# relative slack on the pruning bound, far above rounding error
-SLACK = 1e-9
+# slack on the pruning bounds, relative to the distances involved and far above rounding error
+SLACK = 1e-12
 
 
 def _vector(features: Sequence[str] | str) -> Column:
@@ -114,10 +114,10 @@ class Cells:
             home = d.argmin(axis=1)
             gap = distances(self.pivots[home], self.pivots)
             with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d**2 - d[np.arange(len(d)), home, None] ** 2) / (2 * gap)
+                plane = (d**2 - d[np.arange(len(d)), home, None] ** 2) / (2 * gap) - SLACK * d**2 / gap
             closest = np.maximum(closest, np.where(gap > 0, plane, 0.0))
-            limit = bound * (1 + SLACK) + SLACK
-            row, cell = np.nonzero((closest <= limit[:, None]) & (self.rows > 0))
+            limit = bound[:, None] + SLACK * (bound[:, None] + d + self.furthest_row)
+            row, cell = np.nonzero((closest <= limit) & (self.rows > 0))
             yield row + start, cell
 
 

@@ -71,14 +71,3 @@ def stage(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFra
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for a stored table whose use is heavy on processor time.
-
-    A stored table of few bytes is read as one partition, which is right for a scan
-    but leaves all cores but one idle while a model is fitted. A large table already
-    has more partitions than that and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

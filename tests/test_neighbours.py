@@ -42,6 +42,16 @@ def test_self_join_is_exact(spark, dims, pivots, blocks):
     assert out["distance"].to_numpy() == pytest.approx(np.take_along_axis(d, want, 1).ravel())
 
 
+def test_exact_far_from_the_origin(spark):
+    # large coordinates and tiny gaps: pruning bounds must allow for rounding
+    rng = np.random.default_rng(5)
+    x = 1e6 + np.round(rng.normal(size=(500, 2)), 3)
+    df = frame(spark, x)
+    out = knn_join(df, df, "id", ["f0", "f1"], 3, exclude_self=True, pivots=60, block_refs=50).toPandas()
+    want, _ = brute(x, x, 3, same=True)
+    assert out.sort_values(["id", "rank"])["ref_key"].to_numpy().reshape(-1, 3).tolist() == want.tolist()
+
+
 def test_two_tables_and_payload(spark):
     refs, queries = cloud(400, 3, 1), cloud(150, 3, 2, copies=False)
     r = frame(spark, refs, y=np.arange(400) * 2.0)
