@@ -12,6 +12,7 @@ from .joins import attach_stats, join_null_safe
 from .ordered import exact_quantiles, running_sums
 
 RANKS_PER_ROW = 100_000
+POINTS_PER_PASS = 32
 
 
 def _on_axis(df: DataFrame, c: str, log10: bool, by: Sequence[str]) -> DataFrame:
@@ -84,8 +85,8 @@ def density(
     """Gaussian kernel density per group, scaled to counts: (by, grid_no, x, density).
 
     The grid spans ``limits`` (given on the raw axis), or all values when None. Every
-    grid point is one sum, so rows are read once and combined before the shuffle;
-    rows are never multiplied by grid points.
+    grid point is one sum, combined before the shuffle. ``POINTS_PER_PASS`` sums are
+    taken together, so that they compile into one piece of generated code.
     """
     x = _on_axis(df, c, log10, [by])
     if limits:
@@ -107,18 +108,28 @@ def density(
     ).filter(F.col("__h") > 0)
     step = (F.col("__hi") - F.col("__lo")) / (grid - 1)
 
+    together = min(grid, POINTS_PER_PASS)
+    passes = -(-grid // together)
+    first = F.col("__pass") * together
+
     def kernel(i: int):
-        z = (F.col("__lo") + i * step - F.col("__x")) / F.col("__h")
+        z = (F.col("__lo") + (first + i) * step - F.col("__x")) / F.col("__h")
         return F.sum(F.exp(F.lit(-0.5) * z * z))
 
-    sums = join_null_safe(x, bandwidth, [by]).groupBy(by).agg(
+    rows = join_null_safe(x, bandwidth, [by])
+    rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))) if passes > 1 else F.lit(0))
+    sums = rows.groupBy(by, "__pass").agg(
         F.min("__n").alias("__n"),
         F.min("__h").alias("__h"),
         F.min("__lo").alias("__lo"),
         F.min("__hi").alias("__hi"),
-        F.array(*[kernel(i) for i in range(grid)]).alias("__k"),
+        F.array(*[kernel(i) for i in range(together)]).alias("__k"),
+    )
+    points = (
+        sums.select("*", F.posexplode("__k").alias("__i", "__s"))
+        .withColumn("grid_no", (first + F.col("__i")).cast("int"))
+        .filter(F.col("grid_no") < grid)
     )
-    points = sums.select("*", F.posexplode("__k").alias("grid_no", "__s"))
     root = 2.5066282746310002  # sqrt(2 pi)
     return points.select(
         by,
