@@ -134,7 +134,7 @@ def conditional_value(t):
     "arith_cols",
     """
     SELECT l_orderkey, l_linenumber, round(l_quantity + l_tax - l_discount, 6) AS mixed,
-           round(l_extendedprice / l_quantity, 6) AS unit_price, round(l_tax / nullif(l_discount, 0), 6) AS tax_per_discount
+           round(l_extendedprice / l_quantity, 9) AS unit_price, round(l_tax / nullif(l_discount, 0), 6) AS tax_per_discount
     FROM lineitem
     """,
 )
@@ -143,7 +143,7 @@ def arith_cols(t):
         "l_orderkey",
         "l_linenumber",
         F.round(F.col("l_quantity") + F.col("l_tax") - F.col("l_discount"), 6).alias("mixed"),
-        F.round(safe_divide("l_extendedprice", "l_quantity"), 6).alias("unit_price"),
+        F.round(safe_divide("l_extendedprice", "l_quantity"), 9).alias("unit_price"),
         F.round(safe_divide("l_tax", "l_discount"), 6).alias("tax_per_discount"),
     )
 
