@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +20,7 @@ class Tables:
     folder: str
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(str(PurePosixPath(self.folder) / f"{name}.parquet"))
+        return self.spark.read.parquet(f"{self.folder.rstrip('/')}/{name}.parquet")
 
 
 def query(name: str, sql: str | None = None):
