@@ -3,18 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .language import LanguageModel, held_out
+from .mixing import SEED, mix_sources
 from .neardup import near_duplicates
+from .packing import pack
+from .pii import personal_report
+from .secret_scan import secret_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_report(_table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket, batch and slot of every document."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document, with square-root weights of the sources."""
+    mixed = mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "text", F.col("__copy").cast("long").alias("copy"), F.col("__place").alias("place"))
+
+
+OP8_SQL = f"""
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (
+  SELECT source, n, round(sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) * (SELECT sum(n) FROM counts)::DOUBLE / n, 9) AS rate FROM counts
+),
+steps AS (
+  SELECT source, rate, 0 AS k, -rate AS log_p, exp(-rate) AS below FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, log_p + ln(rate) - ln(k + 1), below + exp(log_p + ln(rate) - ln(k + 1)) FROM steps
+  WHERE k < ceil(rate + 10 * sqrt(rate) + 30)
+),
+drawn AS (
+  SELECT doc_id, source, text,
+         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u
+  FROM documents
+),
+copies AS (SELECT d.doc_id, d.source, d.text, s.k + 1 AS copy FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.below <= d.u)
+SELECT doc_id, source, text, CAST(copy AS BIGINT) AS copy,
+       md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR)) AS place
+FROM copies
+"""
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_minhash_dedup,)}
-ORACLES: dict[str, str] = {}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
+    model = LanguageModel.fit(docs.where("NOT held_out"))
+    return model.predict(docs.select("doc_id", "held_out", "text"), drop=("text",))
+
+
+QUERIES = {f.__name__: f for f in (op4_pii, op5_secrets, op6_packing, op8_mixing, op9_minhash_dedup, op10_language)}
+ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL.strip()}
