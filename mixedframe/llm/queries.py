@@ -5,18 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .forest_search import nearest
+from .labels import FOLDS, HELD
 from .language import LanguageModel, held_out
 from .mixing import SEED, mix_sources
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import personal_report
+from .quality import score_quality
 from .secret_scan import secret_report
+from .topk_search import top_k
+from .toxicity import ToxicityModel
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP1_SQL = """
+WITH finite AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+scaled AS (SELECT vec_id, max(list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM finite GROUP BY vec_id),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
+
+def _scored(rows: DataFrame, threshold: float, *more) -> DataFrame:
+    return rows.select(
+        "doc_id",
+        held_out(F.col("doc_id"), FOLDS, HELD).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *more,
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = ToxicityModel.fit(docs, _table(spark, sf_dir, "labels"))
+    return _scored(model.score(docs), 0.5, F.size("passages").cast("long").alias("n_passages"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest found of every twentieth vector."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return personal_report(_table(spark, sf_dir, "documents"))
@@ -32,6 +79,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return _scored(score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), 0.3)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document, with square-root weights of the sources."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
@@ -73,5 +125,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs.select("doc_id", "held_out", "text"), drop=("text",))
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op5_secrets, op6_packing, op8_mixing, op9_minhash_dedup, op10_language)}
-ORACLES: dict[str, str] = {"op8_mixing": OP8_SQL.strip()}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_topk, op2_toxicity, op3_ann, op4_pii, op5_secrets, op6_packing, op7_quality, op8_mixing, op9_minhash_dedup, op10_language,
+    )
+}
+ORACLES: dict[str, str] = {"op1_topk": OP1_SQL.strip(), "op8_mixing": OP8_SQL.strip()}
