@@ -38,7 +38,7 @@ SAMPLE = 20_000
 LEAF_ROWS = 2048
 #: sample points a leaf must have, which bounds the depth: 2**10 leaves for SAMPLE points
 LEAF_SAMPLE = 16
-REACH = 1.5
+REACH = 0.45
 QUERY_BLOCK, ROW_BLOCK = 8192, 16_384
 AT_ONCE = 1 << 20
 

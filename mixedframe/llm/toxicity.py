@@ -32,9 +32,9 @@ from .text import NOT_WORDLIKE, words
 LABELLED = 200_000
 BITS = 18
 PREFIXES = (4, 5, 6)
-PRIOR_SHARE = 0.003
+PRIOR_SHARE = 0.02
 CAUTION = 1.64
-LEAST, MOST, COST = 2.0, 8.0, 0.05
+LEAST, MOST, COST = 2.0, 8.0, 0.03
 SIGNIFICANT = 0.01
 STEP = 0.25
 
