@@ -166,7 +166,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", b
     measured = stage(document_statistics(docs), "statistics")
     sample = measured.join(training_labels(labels, column, bound), "doc_id").select("doc_id", "stats", "y").toPandas()  # about ``bound`` rows
     sample = sample.sort_values(["doc_id", "y"], kind="stable")
-    x = np.array(sample["stats"].tolist(), float).reshape(len(sample), -1)
+    x = np.array(sample["stats"].tolist(), float).reshape(len(sample), len(STATISTICS))
     model = docs.sparkSession.sparkContext.broadcast(BoostedTrees.fit(x, sample["y"].to_numpy(float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
