@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 EXACT = 4096
 SLICE = 20_000
 
@@ -115,7 +117,8 @@ def plan_buckets(lengths: DataFrame, buckets: int, budget: int) -> Plan:
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, bucket, padded_to, batch (within the bucket) and slot, all from 0."""
-    rows = docs.select("doc_id", (word_count(F.col("text")) if length is None else length).alias("n_tokens"))
+    # written once: the histogram, the slices and the ranks all read the lengths, not the texts
+    rows = stage(docs.select("doc_id", (word_count(F.col("text")) if length is None else length).alias("n_tokens")), "lengths")
     plan = plan_buckets(rows, buckets, budget)
     if not plan.bounds:
         none = F.lit(None).cast("long")
