@@ -1,5 +1,6 @@
 from .normal import normal_quantile
 from .scalars import (
+    BLANK_TOKENS,
     blank_to,
     canonicalize,
     collapse_target,

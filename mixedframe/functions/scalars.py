@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 # Text that stands for "missing" in the name columns.
 BLANK_TOKENS = (" ", "", "0", "_", "-")
 
-# A map longer than this is looked up in a map literal instead of a CASE chain.
-CASE_CHAIN_LIMIT = 50
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -35,14 +32,8 @@ def recode(c: Column | str, mapping: Mapping[str, str]) -> Column:
     c = _col(c)
     if not mapping:
         return c
-    if len(mapping) > CASE_CHAIN_LIMIT:
-        pairs = [F.lit(x) for item in mapping.items() for x in item]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)
-    chain = None
-    for old, new in mapping.items():
-        hit = c == F.lit(old)
-        chain = F.when(hit, F.lit(new)) if chain is None else chain.when(hit, F.lit(new))
-    return chain.otherwise(c)
+    pairs = [F.lit(x) for item in mapping.items() for x in item]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)
 
 
 def canonicalize(c: Column | str, rules: Sequence[tuple[str, str | None, str]]) -> Column:
@@ -60,8 +51,12 @@ def canonicalize(c: Column | str, rules: Sequence[tuple[str, str | None, str]])
 
 
 def replace_first(c: Column | str, pattern: str, replacement: str) -> Column:
-    """Replace only the first match (``regexp_replace`` alone replaces every match)."""
-    return F.regexp_replace(_col(c), f"(?s)^(.*?)(?:{pattern})", "$1" + replacement.replace("$", r"\$"))
+    """Replace only the first match (``regexp_replace`` alone replaces every match).
+
+    The text is cut once at the match and joined again, so the pattern is used as it is given,
+    with its own flags and back-references. It must not match the empty text.
+    """
+    return F.array_join(F.split(_col(c), pattern, 2), replacement)
 
 
 def round_half_even(c: Column | str, digits: int = 0) -> Column:

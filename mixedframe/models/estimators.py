@@ -9,13 +9,13 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 
-from .features import FEATURES, LABEL
+from .features import FEATURES, INDEX, LABEL, SHARES
 
 
 def forest(ntree: int = 201, mtry: int = 3, max_depth: int = 20, seed: int = 1, **params) -> RandomForestClassifier:
     """Random forest: ``ntree`` trees, ``mtry`` columns tried at each split."""
     return RandomForestClassifier(
-        labelCol=LABEL, featuresCol=FEATURES, numTrees=ntree, featureSubsetStrategy=str(mtry),
+        labelCol=LABEL, featuresCol=FEATURES, predictionCol=INDEX, probabilityCol=SHARES, rawPredictionCol="__raw", numTrees=ntree, featureSubsetStrategy=str(mtry),
         maxDepth=max_depth, seed=seed, **params,
     )
 
@@ -28,15 +28,17 @@ def boosted(nrounds: int = 250, max_depth: int = 5, eta: float = 0.4, gamma: flo
     not the same as, those of a softmax booster.
     """
     booster = GBTClassifier(
-        labelCol=LABEL, featuresCol=FEATURES, maxIter=nrounds, maxDepth=max_depth, stepSize=eta,
+        labelCol=LABEL, featuresCol=FEATURES, predictionCol=INDEX, maxIter=nrounds, maxDepth=max_depth, stepSize=eta,
         minInfoGain=gamma, featureSubsetStrategy=str(colsample), minInstancesPerNode=min_child_weight,
         subsamplingRate=subsample, seed=seed,
+    ).setProbabilityCol(SHARES).setRawPredictionCol("__raw")
+    return OneVsRest(
+        classifier=booster, labelCol=LABEL, featuresCol=FEATURES, predictionCol=INDEX, rawPredictionCol="__raw", parallelism=parallelism
     )
-    return OneVsRest(classifier=booster, labelCol=LABEL, featuresCol=FEATURES, parallelism=parallelism)
 
 
 def logistic(family: str = "multinomial", decay: float = 0.0, max_iter: int = 100) -> LogisticRegression:
     """Logistic regression, "binomial" or "multinomial"; ``decay`` is the ridge penalty."""
     return LogisticRegression(
-        labelCol=LABEL, featuresCol=FEATURES, family=family, regParam=decay, elasticNetParam=0.0, maxIter=max_iter
+        labelCol=LABEL, featuresCol=FEATURES, predictionCol=INDEX, probabilityCol=SHARES, rawPredictionCol="__raw", family=family, regParam=decay, elasticNetParam=0.0, maxIter=max_iter
     )

@@ -38,7 +38,7 @@ def class_metrics(df: DataFrame, pred: str, obs: str) -> DataFrame:
         F.try_divide("tn", F.col("tn") + F.col("fp")).alias("specificity"),
         F.try_divide("tp", F.col("tp") + F.col("fp")).alias("ppv"),
         F.try_divide("tn", F.col("tn") + F.col("fn")).alias("npv"),
-        ((F.col("tp") + F.col("fn")) / F.col("total")).alias("prevalence"),
+        F.try_divide(F.col("tp") + F.col("fn"), "total").alias("prevalence"),
     )
     return rates.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
 
@@ -53,11 +53,12 @@ def overall_metrics(df: DataFrame, pred: str, obs: str) -> DataFrame:
         F.max(observed).alias("largest"),
         F.sum(observed.cast("double") * predicted).alias("chance"),
     )
-    accuracy, chance = F.col("hits") / F.col("total"), F.col("chance") / F.col("total") / F.col("total")
+    accuracy = F.try_divide("hits", "total")
+    chance = F.try_divide(F.try_divide("chance", "total"), "total")
     return sums.select(
         F.col("total").cast("long").alias("n"),
         accuracy.alias("accuracy"),
-        (F.col("largest") / F.col("total")).alias("no_information_rate"),
+        F.try_divide("largest", "total").alias("no_information_rate"),
         F.try_divide(accuracy - chance, 1 - chance).alias("kappa"),
     )
 
@@ -72,17 +73,23 @@ def _score_counts(df: DataFrame, score: str | Column, positive: Column) -> DataF
 
 
 def roc_curve(df: DataFrame, score: str | Column, positive: Column) -> DataFrame:
-    """One row per distinct score t: rates when every score >= t is called positive.
+    """One row per distinct score t: rates when every score >= t is called positive, and the
+    start of the curve, where nothing is (threshold infinity, sensitivity 0, specificity 1).
 
     Tied scores are one step. Counts accumulate over distinct scores, split into bins,
     so the curve of a very large table is still computed by all tasks.
     """
     c = _score_counts(df, score, positive)
-    return c.select(
+    start = c.agg(F.max("pos_total").alias("p"), F.max("neg_total").alias("n")).where("p IS NOT NULL").select(
+        F.lit(float("inf")).alias("threshold"),
+        F.when(F.col("p") > 0, 0.0).alias("sensitivity"),
+        F.when(F.col("n") > 0, 1.0).alias("specificity"),
+    )
+    return start.union(c.select(
         (-F.col("__s")).alias("threshold"),
         F.try_divide(F.col("pos_before") + F.col("pos"), "pos_total").alias("sensitivity"),
         F.try_divide(F.col("neg_total") - F.col("neg_before") - F.col("neg"), "neg_total").alias("specificity"),
-    )
+    ))
 
 
 def roc_auc(df: DataFrame, score: str | Column, positive: Column) -> DataFrame:
@@ -96,8 +103,9 @@ def roc_auc(df: DataFrame, score: str | Column, positive: Column) -> DataFrame:
 
 
 def accuracy_by_model(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
-    """Accuracy of several prediction columns in one pass."""
-    wide = df.agg(*[F.avg((F.col(c) == F.col(target)).cast("double")).alias(c) for c in cols])
+    """Accuracy of several prediction columns in one pass; a missing prediction is wrong."""
+    right = lambda c: F.coalesce(F.col(c) == F.col(target), F.lit(False)).cast("double")
+    wide = df.agg(*[F.avg(right(c)).alias(c) for c in cols])
     return wide.unpivot([], list(cols), "model", "accuracy")
 
 

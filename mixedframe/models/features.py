@@ -6,39 +6,60 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stage
 
-LABEL, FEATURES, PREDICTION = "label", "features", "predicted"
+# reserved names, so that a table may have columns called label, features or prediction
+LABEL, FEATURES, PREDICTION = "__label", "__features", "__predicted"
+INDEX, SHARES = "__prediction", "__probability"
+#: text features are categories: an indexer keeps their levels on the driver
+MAX_LEVELS = 100_000
 
 
 def is_text(df: DataFrame, col: str) -> bool:
     return isinstance(df.schema[col].dataType, T.StringType)
 
 
+def level_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Levels of each column, counted before anything is gathered; more than ``MAX_LEVELS`` is an error."""
+    if not cols:
+        return {}
+    counts = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols]).first().asDict()
+    wide = [c for c, n in counts.items() if n > MAX_LEVELS]
+    if wide:
+        raise ValueError(f"{', '.join(wide)}: more than {MAX_LEVELS} levels; lump them first")
+    return counts
+
+
 def feature_stages(df: DataFrame, features: Sequence[str], onehot: bool = False, unseen: str = "keep") -> list:
     """Stages that turn the listed columns into one vector.
 
     With ``onehot`` a category of k levels becomes k-1 indicator columns, its
     alphabetically first level being the reference, as in a model formula. Without,
     it stays one nominal column that trees split by level. ``unseen`` says what
-    happens to a level not met while fitting: "keep" gives it a level of its own.
+    happens to a level not met while fitting: "keep" gives it a level of its own, which
+    as indicators is a row of zeros, like the reference. A text feature with more than
+    ``MAX_LEVELS`` levels is no category and is refused before anything is gathered.
     """
     text = [c for c in features if is_text(df, c)]
+    sizes = level_counts(df, text)
     stages: list = []
     if text:
         order = "alphabetDesc" if onehot else "alphabetAsc"
         stages.append(
             StringIndexer(inputCols=text, outputCols=[f"{c}__ix" for c in text],
-                          stringOrderType=order, handleInvalid="error" if onehot and unseen == "keep" else unseen)
+                          stringOrderType=order, handleInvalid=unseen)
         )
     if text and onehot:
+        # an unseen level has the slot after the reference, which is last: both are no indicator
+        known = ", ".join(f"least(`{c}__ix`, {max(sizes[c] - 1, 0)}) AS `{c}__known`" for c in text)
+        stages.append(SQLTransformer(statement=f"SELECT *, {known} FROM __THIS__"))
         stages.append(
-            OneHotEncoder(inputCols=[f"{c}__ix" for c in text], outputCols=[f"{c}__oh" for c in text], dropLast=True)
+            OneHotEncoder(inputCols=[f"{c}__known" for c in text], outputCols=[f"{c}__oh" for c in text], dropLast=True)
         )
     suffix = "__oh" if onehot else "__ix"
     inputs = [f"{c}{suffix}" if c in text else c for c in features]
@@ -88,7 +109,7 @@ def fit_classifier(estimator: Estimator, df: DataFrame, target: str, features: S
     prepared = feature_pipeline(rows, target, features, onehot).fit(rows)
     vectors = prepared.transform(rows).select(LABEL, FEATURES)
     fitted = with_bins(estimator, widest_category(prepared)).fit(vectors)
-    back = IndexToString(inputCol="prediction", outputCol=PREDICTION, labels=class_labels(prepared))
+    back = IndexToString(inputCol=INDEX, outputCol=PREDICTION, labels=class_labels(prepared))
     return PipelineModel([*prepared.stages, fitted, back])
 
 
@@ -129,9 +150,7 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str], keep: Sequence[str]
     )
 
 
-def levels_of(df: DataFrame, col: str, limit: int = 10_000) -> list[str]:
-    """The level set of a category, checked to be small enough to be one."""
-    found = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{col} has more than {limit} levels")
-    return sorted(found)
+def levels_of(df: DataFrame, col: str) -> list[str]:
+    """The level set of a category; as many columns result from ``one_hot``, so a wide one is refused."""
+    level_counts(df, [col])
+    return sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())

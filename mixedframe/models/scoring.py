@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import key_hash
 from ..session import stage
-from .features import PREDICTION, class_labels
+from .features import PREDICTION, SHARES, class_labels, is_text, levels_of
 
 # R's machine epsilon: keeps the logarithm of a zero share finite
 EPSILON = 2.220446049250313e-16
 
-BLOCK_ROWS = 100_000
-
 
 def score(model: PipelineModel, df: DataFrame, key: str, output: str = "prediction") -> DataFrame:
     """(key, predicted class)."""
@@ -97,45 +95,43 @@ def permuted(df: DataFrame, key: str, cols: Sequence[str], blocks: int, salt: st
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, key: str, target: str, features: Sequence[str],
-                           blocks: int | None = None, seed: int = 1) -> DataFrame:
+                           blocks: int = 16, seed: int = 1, predicted: str = PREDICTION) -> DataFrame:
     """(feature, accuracy, accuracy_drop): loss of accuracy when one column is shuffled.
 
-    The rows are shuffled once for all columns, stored, and scored once per column.
-    ``blocks`` defaults to one per ``BLOCK_ROWS`` rows.
+    The rows are shuffled once for all columns, within ``blocks`` random blocks: a task
+    orders one block, so give more for a larger table. Each row is then laid out once as it
+    is and once per column with that column's moved value, and all are scored in one pass.
     """
-    if blocks is None:
-        blocks = 1 + df.select(key).count() // BLOCK_ROWS
-    rows = df.select(key, target, *features)
-    table = stage(permuted(rows, key, list(features), blocks, str(seed)), "permuted")
-
-    def hits(name: str) -> DataFrame:
-        moved = table.withColumn(name, F.col(f"{name}__moved")) if name in features else table
-        right = (F.col(PREDICTION) == F.col(target)).cast("double")
-        scored = model.transform(moved.select(target, *features))
-        return scored.agg(F.lit(name).alias("feature"), F.avg(right).alias("accuracy"))
-
-    base = hits("none").select("accuracy")
-    parts = [hits(c) for c in features]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("accuracy_drop", base.scalar() - F.col("accuracy"))
-
-
-def partial_dependence(model: PipelineModel, df: DataFrame, col: str, values: Sequence[float] | None = None, points: int = 51) -> DataFrame:
+    rows = permuted(df.select(key, target, *features), key, list(features), blocks, str(seed))
+
+    def variant(name: str) -> Column:
+        return F.struct(F.lit(name).alias("feature"), *[F.col(f"{c}__moved" if c == name else c).alias(c) for c in features])
+
+    laid_out = rows.select(target, F.inline(F.array(*[variant(c) for c in ("", *features)])))
+    right = F.coalesce(F.col(predicted) == F.col(target), F.lit(False)).cast("double")
+    each = model.transform(laid_out).groupBy("feature").agg(F.avg(right).alias("accuracy"))
+    each = stage(each, "importance")
+    base = each.where("feature = ''").select("accuracy").scalar()
+    return each.where("feature <> ''").withColumn("accuracy_drop", base - F.col("accuracy"))
+
+
+def partial_dependence(model: PipelineModel, df: DataFrame, col: str, values: Sequence | None = None, points: int = 51) -> DataFrame:
     """(class, value, effect): mean centred log share of each class with ``col`` set to each value.
 
     All rows are scored at every grid value; the grid is laid out within each row and
-    summed map-side. Without ``values`` the grid is equally spaced over the column.
+    summed map-side. Without ``values`` the grid is equally spaced over a number, and the
+    levels of a category, for which ``value`` is text.
     """
-    if values is None:
+    text = is_text(df, col)
+    if values is None and text:
+        values = levels_of(df, col)
+    elif values is None:
         lo, hi = df.agg(F.min(col), F.max(col)).first()
         values = [lo + i * (hi - lo) / (points - 1) for i in range(points)] if hi > lo else [lo]
-    kind = df.schema[col].dataType.simpleString()
-    grid = F.explode(F.array(*[F.lit(float(v)).cast("double") for v in values]))
-    rows = df.withColumn("__grid", grid).withColumn(col, F.col("__grid").cast("double" if kind != "string" else kind))
+    grid = F.explode(F.array(*[F.lit(v) if text else F.lit(float(v)) for v in values]))
+    rows = df.withColumn("__grid", grid).withColumn(col, F.col("__grid"))
     labels = class_labels(model)
-    shares = model.transform(rows).select("__grid", vector_to_array("probability").alias("p"))
+    shares = model.transform(rows).select("__grid", vector_to_array(SHARES).alias("p"))
     logs = shares.select("__grid", F.transform("p", lambda p: F.log(F.greatest(p, F.lit(EPSILON)))).alias("l"))
     centre = F.aggregate("l", F.lit(0.0), lambda a, x: a + x) / F.size("l")
     logs = logs.withColumn("c", centre)

@@ -7,20 +7,21 @@ of all settings form one DataFrame, so metrics are ordinary grouped aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fold_of
 from ..operators.neighbours import knn_classify
-from ..session import stage
-from .features import FEATURES, LABEL, class_labels, feature_pipeline, widest_category, with_bins
+from ..session import scratch_path, stage
+from .features import FEATURES, INDEX, LABEL, SHARES, class_labels, feature_pipeline, widest_category, with_bins
+from .scoring import permutation_importance
 
 Setting = Mapping[str, object]
 
@@ -34,17 +35,61 @@ def setting_name(setting: Setting) -> str:
 
 
 def _predict(model, test: DataFrame, labels: Sequence[str], setting: str) -> DataFrame:
-    text = [IndexToString(inputCol=i, outputCol=o, labels=list(labels)) for i, o in (("prediction", "pred"), (LABEL, "obs"))]
+    text = [IndexToString(inputCol=i, outputCol=o, labels=list(labels)) for i, o in ((INDEX, "pred"), (LABEL, "obs"))]
     scored = model.transform(test)
     for back in text:
         scored = back.transform(scored)
     probability = []
-    if "probability" in scored.columns:
+    if SHARES in scored.columns:
         names = F.array(*[F.lit(v) for v in labels])
-        probability = [F.map_from_arrays(names, vector_to_array("probability")).alias("probability")]
+        probability = [F.map_from_arrays(names, vector_to_array(SHARES)).alias("probability")]
     return scored.select(F.lit(setting).alias("setting"), "fold", "key", "obs", "pred", *probability)
 
 
+def _held_out(spark: SparkSession, run: Callable[[object], Iterator[DataFrame]], jobs: Sequence, parallelism: int) -> DataFrame:
+    """The frames of all jobs, as one scan.
+
+    Each frame is written to one folder of its own as soon as it is there, and its model is
+    let go, so neither the plan nor the driver grows with folds and settings.
+    """
+    folder = scratch_path(spark, "held-out")
+
+    def work(numbered: tuple[int, object]) -> None:
+        i, job = numbered
+        for j, frame in enumerate(run(job)):
+            frame.write.parquet(f"{folder}/job={i}/part={j}")
+
+    with ThreadPool(parallelism) as pool:
+        pool.map(work, list(enumerate(jobs)))
+    return spark.read.parquet(folder).drop("job", "part")
+
+
+class _Prepared:
+    """A table with every feature indexed once, from which any selection is assembled."""
+
+    def __init__(self, df: DataFrame, key: str, target: str, features: Sequence[str], k: int):
+        fitted = feature_pipeline(df, target, features).fit(df)
+        self.labels, self.levels = class_labels(fitted), widest_category(fitted)
+        inputs = fitted.stages[-1].getInputCols()
+        self.slot = {c: f"{c}__ix" if f"{c}__ix" in inputs else c for c in features}
+        columns = [F.col(key).alias("key"), fold_of(key, k).alias("fold"), LABEL]
+        self.table = stage(fitted.transform(df).select(*columns, *self.slot.values()), "folds", by="fold")
+
+    def assembler(self, names: Sequence[str]) -> VectorAssembler:
+        return VectorAssembler(inputCols=[self.slot[c] for c in names], outputCol=FEATURES)
+
+    def fit(self, estimator: Estimator, names: Sequence[str], rows: DataFrame) -> PipelineModel:
+        assembler = self.assembler(names)
+        return PipelineModel([assembler, with_bins(estimator, self.levels).fit(assembler.transform(rows))])
+
+    def ranking(self, model: PipelineModel, names: Sequence[str], rows: DataFrame) -> list[str]:
+        """Features by the accuracy lost when one is shuffled, most first."""
+        slots = [self.slot[c] for c in names]
+        lost = permutation_importance(model, rows, "key", LABEL, slots, predicted=INDEX).collect()
+        drop = {r.feature: r.accuracy_drop for r in lost}
+        return sorted(names, key=lambda c: (-drop[self.slot[c]], c))
+
+
 def tune(make: Callable[..., Estimator], df: DataFrame, key: str, target: str, features: Sequence[str],
          grid: Sequence[Setting] = ({},), k: int = 10, onehot: bool = False, parallelism: int = 2) -> DataFrame:
     """Held-out predictions (setting, fold, key, obs, pred) of every setting in the grid,
@@ -60,13 +105,12 @@ def tune(make: Callable[..., Estimator], df: DataFrame, key: str, target: str, f
     )
     labels, levels = class_labels(prepared), widest_category(prepared)
 
-    def run(job: tuple[Setting, int]) -> DataFrame:
+    def run(job: tuple[Setting, int]) -> Iterator[DataFrame]:
         setting, fold = job
         model = with_bins(make(**setting), levels).fit(table.filter(F.col("fold") != fold))
-        return _predict(model, table.filter(F.col("fold") == fold), labels, setting_name(setting))
+        yield _predict(model, table.filter(F.col("fold") == fold), labels, setting_name(setting))
 
-    with ThreadPool(parallelism) as pool:
-        return union_all(pool.map(run, [(s, f) for s in grid for f in range(k)]))
+    return _held_out(df.sparkSession, run, [(s, f) for s in grid for f in range(k)], parallelism)
 
 
 def cross_validate(estimator: Estimator, df: DataFrame, key: str, target: str, features: Sequence[str],
@@ -88,9 +132,10 @@ def cross_validate_knn(df: DataFrame, key: str, target: str, features: Sequence[
 
 
 def fold_accuracy(held_out: DataFrame, by: Sequence[str] = ("setting",)) -> DataFrame:
+    """Accuracy of each fold; a missing prediction is wrong."""
     by = [c for c in by if c in held_out.columns]
     return held_out.groupBy(*by, "fold").agg(
-        F.count("*").alias("n"), F.avg((F.col("pred") == F.col("obs")).cast("double")).alias("accuracy")
+        F.count("*").alias("n"), F.avg(F.coalesce(F.col("pred") == F.col("obs"), F.lit(False)).cast("double")).alias("accuracy")
     )
 
 
@@ -119,62 +164,47 @@ def one_se_rule(results: DataFrame, complexity: str, value: str = "accuracy", sd
     return good.orderBy(complexity).limit(1)
 
 
-def _rank_features(model, names: Sequence[str]) -> list[str]:
-    weights = model.featureImportances.toArray()
-    return [names[i] for i in sorted(range(len(names)), key=lambda i: (-weights[i], names[i]))]
-
-
 def rfe(make: Callable[[int], Estimator], df: DataFrame, key: str, target: str, features: Sequence[str],
         sizes: Sequence[int] = (4, 6, 8, 10, 12), k: int = 10, parallelism: int = 2) -> tuple[DataFrame, list[str]]:
-    """Recursive feature elimination for tree models.
+    """Recursive feature elimination.
 
-    In each fold the features are ranked once by importance and the model is refitted
-    on the best of each size (and on all). ``make(n)`` builds the estimator for n
-    features. Returns the held-out predictions, with column ``size``, and the features
-    ordered by their ranking on the whole table.
+    In each fold the features are ranked once, by the accuracy lost when one is shuffled,
+    and the model is refitted on the best of each size (and on all). ``make(n)`` builds
+    the estimator for n features. Returns the held-out predictions, with column ``size``,
+    and the features ordered by their ranking on the whole table.
     """
-    prepared = feature_pipeline(df, target, features).fit(df)
-    labels, levels = class_labels(prepared), widest_category(prepared)
-    slot = {c: (f"{c}__ix" if f"{c}__ix" in prepared.stages[-1].getInputCols() else c) for c in features}
-    table = stage(
-        prepared.transform(df).select(F.col(key).alias("key"), fold_of(key, k).alias("fold"), LABEL, *slot.values()),
-        "folds", by="fold",
-    )
-
-    def vectors(names: Sequence[str], rows: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=[slot[c] for c in names], outputCol=FEATURES).transform(rows)
-
-    def fit(names: Sequence[str], rows: DataFrame):
-        return with_bins(make(len(names)), levels).fit(vectors(names, rows))
+    prepared = _Prepared(df, key, target, features, k)
 
-    def run(fold: int) -> DataFrame:
-        train, test = table.filter(F.col("fold") != fold), table.filter(F.col("fold") == fold)
-        full = fit(features, train)
-        ranking = _rank_features(full, features)
-        parts = [_predict(full, vectors(features, test), labels, str(len(features)))]
+    def run(fold: int) -> Iterator[DataFrame]:
+        train, test = prepared.table.filter(F.col("fold") != fold), prepared.table.filter(F.col("fold") == fold)
+        full = prepared.fit(make(len(features)), features, train)
+        ranking = prepared.ranking(full, features, train)
+        yield _predict(full, test, prepared.labels, str(len(features)))
         for size in sorted(set(sizes)):
             if size < len(features):
-                names = ranking[:size]
-                parts.append(_predict(fit(names, train), vectors(names, test), labels, str(size)))
-        return union_all(parts)
+                model = prepared.fit(make(size), ranking[:size], train)
+                yield _predict(model, test, prepared.labels, str(size))
 
-    with ThreadPool(parallelism) as pool:
-        held_out = union_all(pool.map(run, range(k)))
+    held_out = _held_out(df.sparkSession, run, range(k), parallelism)
     held_out = held_out.withColumn("size", F.col("setting").cast("int")).drop("setting")
-    return held_out, _rank_features(fit(features, table), features)
+    return held_out, prepared.ranking(prepared.fit(make(len(features)), features, prepared.table), features, prepared.table)
 
 
 def ablate(estimator: Estimator, df: DataFrame, key: str, target: str, base: Sequence[str],
            variants: Mapping[str, tuple[Sequence[str], Sequence[str]]], k: int = 10, parallelism: int = 2) -> DataFrame:
     """Feature-substitution study: held-out predictions with ``setting`` naming the variant.
 
-    A variant is (columns to drop, columns to add); "baseline" is always included.
+    A variant is (columns to drop, columns to add); "baseline" is always included. All
+    columns are indexed and stored once.
     """
     lists = {"baseline": list(base)}
     for name, (drop, add) in variants.items():
         lists[name] = [c for c in base if c not in set(drop)] + [c for c in add if c not in base]
-    parts = [
-        cross_validate(estimator, df, key, target, names, k, parallelism=parallelism).withColumn("setting", F.lit(name))
-        for name, names in lists.items()
-    ]
-    return union_all(parts)
+    prepared = _Prepared(df, key, target, list(dict.fromkeys(c for names in lists.values() for c in names)), k)
+
+    def run(job: tuple[str, int]) -> Iterator[DataFrame]:
+        name, fold = job
+        model = prepared.fit(estimator, lists[name], prepared.table.filter(F.col("fold") != fold))
+        yield _predict(model, prepared.table.filter(F.col("fold") == fold), prepared.labels, name)
+
+    return _held_out(df.sparkSession, run, [(n, f) for n in lists for f in range(k)], parallelism)

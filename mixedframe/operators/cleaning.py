@@ -8,27 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import years_in_service
+from ..session import stage
 from .joins import join_null_safe
 from .ordered import exact_median
 from .profile import top_k_values, value_counts
 
-# Up to this many kept levels are compared in the expression itself.
-INLINE_LEVELS = 1000
-
 
 @dataclass(frozen=True)
 class TopKLumperModel:
-    """Keeps the fitted levels of ``col`` and writes ``other`` for every other value."""
+    """Keeps the fitted levels of ``col`` and writes ``other`` for every other value.
+
+    The levels are a stored table, so there may be any number of them.
+    """
 
     col: str
-    levels: tuple[str, ...]
+    levels: DataFrame
     other: str = "other"
 
     def transform(self, df: DataFrame, output: str | None = None) -> DataFrame:
-        value = F.col(self.col)
-        return df.withColumn(
-            output or self.col, F.when(value.isin(*self.levels), value).otherwise(F.lit(self.other))
-        )
+        kept = self.levels.select(F.col(self.col).alias("__level"))
+        joined = df.join(kept, F.col(self.col) == F.col("__level"), "left")
+        return joined.withColumn(output or self.col, F.coalesce("__level", F.lit(self.other))).drop("__level")
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,8 @@ class TopKLumper:
     other: str = "other"
 
     def fit(self, df: DataFrame) -> TopKLumperModel:
-        if self.k > INLINE_LEVELS:
-            raise ValueError(f"at most {INLINE_LEVELS} levels can be kept")
         top = top_k_values(df.filter(F.col(self.col).isNotNull()), self.col, self.k)
-        return TopKLumperModel(self.col, tuple(r[0] for r in top.collect()), self.other)
+        return TopKLumperModel(self.col, stage(top.select(self.col), "levels"), self.other)
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ from .ordered import exact_quantiles, running_sums
 
 RANKS_PER_ROW = 100_000
 POINTS_PER_PASS = 32
+FINE = 4096
 
 
 def _on_axis(df: DataFrame, c: str, log10: bool, by: Sequence[str]) -> DataFrame:
@@ -57,18 +58,18 @@ def histogram(df: DataFrame, c: str, bins: int = 30, log10: bool = False, by: st
 
 def box_stats(df: DataFrame, by: str, c: str, log10: bool = True) -> DataFrame:
     """Per group: quartiles, whiskers at the furthest value within 1.5 IQR, outlier count."""
-    x = _on_axis(df, c, log10, [by])
-    quartiles = exact_quantiles(x, "__x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by])
+    x = _on_axis(df, c, log10, [by]).groupBy(by, "__x").agg(F.count("*").alias("__rows"))
+    quartiles = exact_quantiles(x, "__x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, [by], weight="__rows")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     kept = F.col("__x").between(F.col("q1") - reach, F.col("q3") + reach)
     return attach_stats(x, quartiles, [by]).groupBy(by).agg(
-        F.count("*").alias("n"),
+        F.sum("__rows").alias("n"),
         F.min("q1").alias("q1"),
         F.min("median").alias("median"),
         F.min("q3").alias("q3"),
         F.min(F.when(kept, F.col("__x"))).alias("whisker_lo"),
         F.max(F.when(kept, F.col("__x"))).alias("whisker_hi"),
-        F.count_if(~kept).alias("n_outliers"),
+        F.sum(F.when(kept, 0).otherwise(F.col("__rows"))).alias("n_outliers"),
     )
 
 
@@ -84,9 +85,13 @@ def density(
 ) -> DataFrame:
     """Gaussian kernel density per group, scaled to counts: (by, grid_no, x, density).
 
-    The grid spans ``limits`` (given on the raw axis), or all values when None. Every
-    grid point is one sum, combined before the shuffle. ``POINTS_PER_PASS`` sums are
-    taken together, so that they compile into one piece of generated code.
+    The grid spans ``limits`` (given on the raw axis), or all values when None. The rows are
+    counted once on ``FINE`` cells, each row shared between the two nearest cell bounds
+    (linear binning, an error of the order of (cell / bandwidth) squared), and every grid
+    point is a sum over a group's cells. ``POINTS_PER_PASS`` sums are taken together, so
+    that they compile into one piece of generated code. The bandwidth takes the smaller of
+    deviation and quartile spread; where that is 0 the deviation, else the size of the
+    smallest value, else 1, so a group of equal values has a density too.
     """
     x = _on_axis(df, c, log10, [by])
     if limits:
@@ -95,9 +100,10 @@ def density(
         span = None
     else:
         span = x.agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    moments = x.groupBy(by).agg(F.count("*").alias("__n"), F.stddev_samp("__x").alias("__sd"))
+    moments = x.groupBy(by).agg(F.count("*").alias("__n"), F.stddev_samp("__x").alias("__sd"), F.min("__x").alias("__least"))
     quartiles = exact_quantiles(x, "__x", {"__q1": 0.25, "__q3": 0.75}, [by])
-    spread = F.least(F.col("__sd"), (F.col("__q3") - F.col("__q1")) / 1.34)
+    choices = [F.least(F.col("__sd"), (F.col("__q3") - F.col("__q1")) / 1.34), F.col("__sd"), F.abs("__least"), F.lit(1.0)]
+    spread = F.coalesce(*[F.when(v > 0, v) for v in choices])
     bandwidth = join_null_safe(moments, quartiles, [by]).select(
         by, "__n", (F.lit(adjust * 0.9) * spread * F.pow(F.col("__n"), -0.2)).alias("__h")
     )
@@ -105,7 +111,7 @@ def density(
         attach_stats(bandwidth, span)
         if span is not None
         else bandwidth.withColumns({"__lo": ends[0], "__hi": ends[1]})
-    ).filter(F.col("__h") > 0)
+    )
     step = (F.col("__hi") - F.col("__lo")) / (grid - 1)
 
     together = min(grid, POINTS_PER_PASS)
@@ -113,10 +119,21 @@ def density(
     first = F.col("__pass") * together
 
     def kernel(i: int):
-        z = (F.col("__lo") + (first + i) * step - F.col("__x")) / F.col("__h")
-        return F.sum(F.exp(F.lit(-0.5) * z * z))
-
-    rows = join_null_safe(x, bandwidth, [by])
+        z = (F.col("__lo") + (first + i) * step - F.col("__at")) / F.col("__h")
+        return F.sum(F.col("__w") * F.exp(F.lit(-0.5) * z * z))
+
+    lo, hi = (F.col("__lo"), F.col("__hi")) if span is not None else ends
+    width = (hi - lo) / FINE
+    place = F.when(width > 0, (F.col("__x") - lo) / width).otherwise(0.0)
+    cell = F.least(F.floor(place), F.lit(FINE - 1))
+    on_cells = (attach_stats(x, span) if span is not None else x).groupBy(by, cell.alias("__cell")).agg(
+        F.count("*").alias("__rows"), F.sum(place - cell).alias("__above")
+    )
+    bound = lambda i, w: F.struct((F.col("__lo") + i * (F.col("__hi") - F.col("__lo")) / FINE).alias("__at"), w.alias("__w"))
+    rows = join_null_safe(on_cells, bandwidth, [by]).select(
+        by, "__n", "__h", "__lo", "__hi",
+        F.inline(F.array(bound(F.col("__cell"), F.col("__rows") - F.col("__above")), bound(F.col("__cell") + 1, F.col("__above")))),
+    )
     rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))) if passes > 1 else F.lit(0))
     sums = rows.groupBy(by, "__pass").agg(
         F.min("__n").alias("__n"),

@@ -60,5 +60,8 @@ def grid(spark: SparkSession, **lists: Sequence) -> DataFrame:
 
 
 def bind_on_key(frames: Sequence[DataFrame], key: str) -> DataFrame:
-    """Put columns of several tables side by side, matched by key and never by position."""
-    return reduce(lambda a, b: a.join(b, key), frames)
+    """Put columns of several tables side by side, matched by key and never by position.
+
+    Every row of the first table stays; a table without its key leaves nulls.
+    """
+    return reduce(lambda a, b: a.join(b, key, "left"), frames)

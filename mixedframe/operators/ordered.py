@@ -9,7 +9,7 @@ in a single task, so the work is laid out as:
 2. for groups that still have more than ``bin_rows`` distinct values, take
    quantile cut points (a mergeable sketch of fixed size) and split the group
    into bins of about equal size;
-3. total each bin, accumulate the (at most ``BIN_SIDE ** 2``) bin totals, and run
+3. total each bin, accumulate the bin totals, and run
    the window inside (group, bin) only.
 
 Cut points only decide where the work is split: any cut points give the same,
@@ -20,6 +20,7 @@ reuses its shuffle, so the input is scanned once.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,23 +28,33 @@ from pyspark.sql import functions as F
 
 from .joins import attach_stats, join_null_safe
 
-BIN_SIDE = 32
 BIN_ROWS = 1_000_000
 
 
+def _side(df: DataFrame) -> int:
+    """Bins of a large group are a square number, at least 1,024 and as many as there are shuffle partitions.
+
+    So they follow the setting by which a job is fitted to its data.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(32, ceil(sqrt(partitions)))
+
+
 def _cut_points(totals: DataFrame, order: str, keys: Sequence[str], bin_rows: int) -> DataFrame:
+    side = _side(totals)
+    accuracy = max(10_000, 10 * side**2)
     # one text literal instead of a thousand number literals keeps the plan small
-    listed = ",".join(str(i / BIN_SIDE**2) for i in range(1, BIN_SIDE**2))
+    listed = ",".join(str(i / side**2) for i in range(1, side**2))
     shares = F.split(F.lit(listed), ",").cast("array<double>")
     if keys:
         heavy = totals.groupBy(*keys).agg(F.count("*").alias("__m")).filter(F.col("__m") > bin_rows)
         totals = join_null_safe(totals, heavy, keys, "left_semi")
-        cuts = totals.groupBy(*keys).agg(F.percentile_approx(order, shares).alias("__cuts"))
+        cuts = totals.groupBy(*keys).agg(F.percentile_approx(order, shares, accuracy).alias("__cuts"))
     else:
         cuts = totals.agg(
-            F.when(F.count("*") > bin_rows, F.percentile_approx(order, shares)).alias("__cuts")
+            F.when(F.count("*") > bin_rows, F.percentile_approx(order, shares, accuracy)).alias("__cuts")
         )
-    coarse = F.filter("__cuts", lambda _, i: (i + 1) % BIN_SIDE == 0)
+    coarse = F.filter("__cuts", lambda _, i: (i + 1) % side == 0)
     return cuts.withColumn("__coarse", coarse)
 
 
@@ -53,13 +64,13 @@ def _below(cuts: Column, value: Column) -> Column:
 
 def _binned(totals: DataFrame, order: str, keys: Sequence[str], bin_rows: int) -> DataFrame:
     cuts = _cut_points(totals, order, keys, bin_rows)
-    value = F.col(order)
+    value, side = F.col(order), _side(totals)
     located = attach_stats(totals, cuts, keys).withColumn(
         "__row", F.when(F.col("__cuts").isNull(), 0).otherwise(_below(F.col("__coarse"), value))
     )
-    within = F.slice("__cuts", F.col("__row") * BIN_SIDE + 1, F.lit(BIN_SIDE))
+    within = F.slice("__cuts", F.col("__row") * side + 1, F.lit(side))
     number = F.when(F.col("__cuts").isNull(), 0).otherwise(
-        F.col("__row") * BIN_SIDE + _below(within, value)
+        F.col("__row") * side + _below(within, value)
     )
     return located.withColumn("__bin", number).drop("__cuts", "__coarse", "__row")
 
@@ -68,7 +79,7 @@ def _bin_offsets(binned: DataFrame, sums: Sequence[str], keys: Sequence[str]) ->
     per_bin = binned.groupBy(*keys, "__bin").agg(*[F.sum(c).alias(f"__in_{c}") for c in sums])
     group = W.partitionBy(*keys)
     earlier = group.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    # at most BIN_SIDE ** 2 rows per group
+    # as many rows per group as it has bins
     return per_bin.select(
         *keys,
         "__bin",
@@ -108,14 +119,18 @@ def running_sums(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[
     return _accumulate(binned, _bin_offsets(binned, sums, keys), order, sums, keys)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = (), bin_rows: int = BIN_ROWS) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], keys: Sequence[str] = (), bin_rows: int = BIN_ROWS,
+                    weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles per group: keys, one column per name in ``probs``.
 
+    ``weight`` names a column of row counts where ``df`` is already collapsed.
+
     Only the bins that hold a wanted position are ordered; all others are dropped
     after they are counted. A group with no non-null value has no row; without keys the one row
     is then null.
     """
-    counted = df.select(*keys, F.col(value).cast("double").alias("__v"), F.lit(1).cast("long").alias("__n"))
+    each = (F.col(weight) if weight else F.lit(1)).cast("long")
+    counted = df.select(*keys, F.col(value).cast("double").alias("__v"), each.alias("__n"))
     totals = _totals(counted, "__v", ["__n"], keys)
     binned = _binned(totals, "__v", keys, bin_rows)
     position = {name: (F.col("__n_total") - 1) * F.lit(float(p)) for name, p in probs.items()}

@@ -13,8 +13,6 @@ from ..functions import round_half_even
 from .joins import attach_stats, join_null_safe
 from .ordered import approx_quantiles, dense_positions, exact_median, exact_quantiles
 
-MAX_LEVELS = 10_000
-
 
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
@@ -39,37 +37,20 @@ def value_shares(df: DataFrame, col: str, digits: int | None = None) -> DataFram
     return counts.withColumn("share", share if digits is None else round_half_even(share, digits))
 
 
-def level_set(counts: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> Column:
-    """The levels of ``col`` as one array of structs, with its size checked.
-
-    At most ``max_levels`` + 1 values are ever gathered; more is an error, never a cut.
-    """
-    seen = counts.select(col).distinct().limit(max_levels + 1)
-    gathered = seen.agg(F.collect_list(F.struct(col)).alias("l"))
-    checked = F.when(
-        F.size("l") > max_levels, F.raise_error(f"{col} has more than {max_levels} levels")
-    ).otherwise(F.col("l"))
-    return gathered.select(checked.alias("l")).scalar()
-
-
-def crosstab_shares(df: DataFrame, row: str, col: str, digits: int | None = 2, fill: bool = True, max_levels: int = MAX_LEVELS) -> DataFrame:
+def crosstab_shares(df: DataFrame, row: str, col: str, digits: int | None = 2, levels: Sequence | None = None) -> DataFrame:
     """Two-way table with row-margin shares: (row, col, n, share), each row sums to 1.
 
-    ``fill`` adds the empty cells; the column levels must then be a bounded set.
+    Cells that occur are listed; ``levels`` of the column adds its empty ones. A value
+    outside the given levels keeps its cell.
     """
     cells = value_counts(df, row, col)
     margin = cells.groupBy(row).agg(F.sum("n").alias("__total"))
-    if fill:
-        frame = (
-            margin.withColumn("__levels", level_set(cells, col, max_levels))
-            .withColumn("__level", F.explode("__levels"))
-            .select(row, F.col(f"__level.{col}").alias(col), "__total")
-        )
-        cells = join_null_safe(frame, cells, [row, col], "left").withColumn(
-            "n", F.coalesce("n", F.lit(0).cast("long"))
-        )
-    else:
-        cells = join_null_safe(cells, margin, [row])
+    if levels is not None:
+        kind = df.schema[col].dataType
+        listed = F.array(*[F.lit(v).cast(kind) for v in levels])
+        frame = margin.select(row, F.explode(listed).alias(col)).withColumn("n", F.lit(0).cast("long"))
+        cells = cells.unionByName(frame).groupBy(row, col).agg(F.sum("n").alias("n"))
+    cells = join_null_safe(cells, margin, [row])
     share = F.col("n") / F.col("__total")
     return cells.select(
         row, col, "n", (share if digits is None else round_half_even(share, digits)).alias("share")
@@ -78,7 +59,7 @@ def crosstab_shares(df: DataFrame, row: str, col: str, digits: int | None = 2, f
 
 def share(df: DataFrame, pred: Column, name: str = "share") -> DataFrame:
     """Share of all rows that satisfy a condition; an unknown outcome counts as no."""
-    return df.agg((F.count_if(pred) / F.count("*")).alias(name))
+    return df.agg(F.try_divide(F.count_if(pred), F.count("*")).alias(name))
 
 
 def group_share(df: DataFrame, keys: Sequence[str], pred: Column, name: str = "share") -> DataFrame:
@@ -208,8 +189,12 @@ def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
     return cells.unionByName(total)
 
 
-def describe_structure(df: DataFrame) -> DataFrame:
-    """Per column: position, type, rows, non-null rows, approximate levels, smallest value."""
+def describe_structure(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Per column: position, type, rows, non-null rows, levels, smallest value.
+
+    Levels are counted exactly, unless ``approximate``.
+    """
+    levels = F.approx_count_distinct if approximate else F.count_distinct
     atomic = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     entries = [
         F.struct(
@@ -218,7 +203,7 @@ def describe_structure(df: DataFrame) -> DataFrame:
             F.lit(f.dataType.simpleString()).alias("type"),
             F.count("*").alias("n_rows"),
             F.count(F.col(f.name)).alias("n_present"),
-            (F.approx_count_distinct(F.col(f.name)) if f.name in atomic else F.lit(None).cast("long")).alias("n_levels"),
+            (levels(F.col(f.name)) if f.name in atomic else F.lit(None).cast("long")).alias("n_levels"),
             (F.min(F.col(f.name)).cast("string") if f.name in atomic else F.lit(None).cast("string")).alias("example"),
         )
         for i, f in enumerate(df.schema)
@@ -268,8 +253,12 @@ def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "group_n") -
 
 
 def top_k_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
-    """The first k rows of each group. Spark limits each group before the shuffle too
-    (``WindowGroupLimit``), so a hot group sends at most k rows per task."""
+    """The first k rows of each group.
+
+    Spark limits each group before the shuffle too (``WindowGroupLimit``), so a hot group
+    sends at most k rows per task, for k up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+    (1000 by default; raise it for a larger k).
+    """
     ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("rank") <= k)
 

@@ -135,6 +135,7 @@ def overall_metrics(t):
          c AS (SELECT value, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM s
                WINDOW w AS (ORDER BY value DESC))
     SELECT value AS threshold, round(tp / p::DOUBLE, 6) AS sensitivity, round((n - fp) / n::DOUBLE, 6) AS specificity FROM c
+    UNION ALL SELECT 'inf'::DOUBLE, 0.0, 1.0
     """,
 )
 def roc_curve(t):

@@ -27,12 +27,16 @@ def value_shares(t):
     return profile.value_shares(t("events"), "event_type").withColumn("share", F.round("share", 6))
 
 
+KINDS = [e + s for e in ("click", "error", "purchase", "signup", "view") for s in ("", "-large")]
+
+
 @query(
     "crosstab_row_shares",
     """
     WITH e AS (SELECT CAST(user_id % 40 AS VARCHAR) AS grp, CASE WHEN value > 150 THEN event_type || '-large' ELSE event_type END AS kind FROM events),
          c AS (SELECT grp, kind, count(*) AS n FROM e GROUP BY grp, kind),
-         f AS (SELECT g.grp, k.kind FROM (SELECT DISTINCT grp FROM c) g, (SELECT DISTINCT kind FROM c) k)
+         f AS (SELECT g.grp, k.kind FROM (SELECT DISTINCT grp FROM c) g,
+                    (SELECT e || s AS kind FROM unnest(['click', 'error', 'purchase', 'signup', 'view']) x(e), unnest(['', '-large']) y(s)) k)
     SELECT f.grp, f.kind, coalesce(c.n, 0) AS n,
            round_even(coalesce(c.n, 0)::DOUBLE / sum(coalesce(c.n, 0)) OVER (PARTITION BY f.grp), 2) AS share
     FROM f LEFT JOIN c ON f.grp = c.grp AND f.kind = c.kind
@@ -41,7 +45,7 @@ def value_shares(t):
 def crosstab_row_shares(t):
     large = F.when(F.col("value") > 150, F.concat("event_type", F.lit("-large"))).otherwise(F.col("event_type"))
     rows = t("events").select((F.col("user_id") % 40).cast("string").alias("grp"), large.alias("kind"))
-    return profile.crosstab_shares(rows, "grp", "kind", 2)
+    return profile.crosstab_shares(rows, "grp", "kind", 2, KINDS)
 
 
 @query(
@@ -184,7 +188,18 @@ def transitions(t):
     return profile.transitions(rows, "before", "after")
 
 
-@query("structure")
+_STRUCTURE = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+              ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+
+
+@query(
+    "structure",
+    " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS \"column\", '{kind}' AS type, count(*) AS n_rows, count({c}) AS n_present, "
+        f"count(DISTINCT {c}) AS n_levels, CAST(min({c}) AS VARCHAR) AS example FROM orders"
+        for i, (c, kind) in enumerate(_STRUCTURE)
+    ),
+)
 def structure(t):
     return profile.describe_structure(t("orders"))
 
@@ -268,17 +283,24 @@ def box_stats(t):
 @query(
     "kde",
     """
-    WITH x AS (SELECT event_type, log10(value) AS x FROM events WHERE value >= 1 AND value <= 350000),
-         s AS (SELECT event_type, count(*) AS n, stddev_samp(x) AS sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM x GROUP BY event_type),
-         h AS (SELECT event_type, 2 * 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) AS h FROM s),
-         g AS (SELECT i AS grid_no, i * log10(350000) / 15 AS gx FROM range(16) r(i))
-    SELECT x.event_type, CAST(grid_no AS INTEGER) AS grid_no, round(gx, 6) AS x,
-           round(sum(exp(-0.5 * ((gx - x.x) / h) * ((gx - x.x) / h))) / (h * sqrt(2 * pi())) * 2, 4) AS density
-    FROM x JOIN h ON x.event_type = h.event_type CROSS JOIN g GROUP BY x.event_type, grid_no, gx, h
+    WITH e AS (SELECT event_type, value FROM events UNION ALL SELECT 'tied', 100.0 FROM events WHERE event_type = 'error'),
+         x AS (SELECT event_type, log10(value) AS x, log10(value) / (log10(350000) / 4096) AS p FROM e WHERE value >= 1 AND value <= 350000),
+         s AS (SELECT event_type, count(*) AS n, stddev_samp(x) AS sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, min(x) AS low FROM x GROUP BY event_type),
+         h AS (SELECT event_type, 2 * 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd
+                                            WHEN abs(low) > 0 THEN abs(low) ELSE 1 END * pow(n, -0.2) AS h FROM s),
+         c AS (SELECT event_type, least(floor(p), 4095) AS cell, count(*) AS n, sum(p - least(floor(p), 4095)) AS above FROM x GROUP BY 1, 2),
+         b AS (SELECT event_type, unnest([cell, cell + 1]) * log10(350000) / 4096 AS x, unnest([n - above, above]) AS w FROM c),
+         g AS (SELECT i AS grid_no, i * log10(350000) / 511 AS gx FROM range(512) r(i))
+    SELECT b.event_type, CAST(grid_no AS INTEGER) AS grid_no, round(gx, 6) AS x,
+           round(sum(w * exp(-0.5 * ((gx - b.x) / h) * ((gx - b.x) / h))) / (h * sqrt(2 * pi())) * 2, 4) AS density
+    FROM b JOIN h ON b.event_type = h.event_type CROSS JOIN g GROUP BY b.event_type, grid_no, gx, h
     """,
 )
 def kde(t):
-    out = distribution.density(t("events"), "value", "event_type", grid=16)
+    """Densities on 512 points, with a group whose values are all equal."""
+    events = t("events").select("event_type", "value")
+    tied = events.where("event_type = 'error'").select(F.lit("tied").alias("event_type"), F.lit(100.0).alias("value"))
+    out = distribution.density(events.union(tied), "value", "event_type")
     return out.select("event_type", "grid_no", F.round("x", 6).alias("x"), F.round("density", 4).alias("density"))
 
 

@@ -8,20 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blank_to, canonicalize, log10_or_zero, recode, year_of
+from ..functions import BLANK_TOKENS, blank_to, canonicalize, log10_or_zero, recode, year_of
 from ..models import ensemble, scoring, validate
 from ..models.estimators import boosted, forest, logistic
-from ..models.features import Standardizer, fit_classifier
+from ..models.features import PREDICTION, Standardizer, fit_classifier
 from ..operators.cleaning import ServiceYears, ServiceYearsModel, TopKLumper, TopKLumperModel
 from ..operators.impute import impute_group_median
 from ..operators.joins import left_join
 from ..operators.neighbours import NeighbourIndex, vote
+from ..session import stage
 from ..sources import write_table
 
 KEY, TARGET = "id", "status_group"
@@ -170,13 +170,13 @@ class WellsModels:
     def predictions(self, df: DataFrame) -> DataFrame:
         """(id, rf, leak, xgb, log, knn, vote, stack)."""
         trees = scoring.score_many(self.pipelines, df, KEY)
-        table = trees.join(self.knn.score(df, "knn"), KEY)
+        table = trees.join(self.knn.score(df, "knn"), KEY, "left")
         table = table.withColumn("vote", ensemble.dissent_vote("rf", ["xgb", "log", "knn"]))
-        return self.stacked.transform(table).select(*table.columns, F.col("predicted").alias("stack"))
+        return self.stacked.transform(table).select(*table.columns, F.col(PREDICTION).alias("stack"))
 
     def submissions(self, df: DataFrame, folder: str) -> list[str]:
         """One CSV of (id, status_group) per model."""
-        table = self.predictions(df)
+        table = stage(self.predictions(df), "predictions")
         paths = []
         for name in ("rf", "leak", "xgb", "vote", "stack"):
             path = f"{folder}/submission_{name}.csv"
@@ -222,7 +222,7 @@ def missing_rules(df: DataFrame) -> dict:
     rules = {c: F.col(c) == 0 for c in ("amount_tsh", "longitude", "latitude", "construction_year")}
     rules["population"] = F.col("population") < 2
     for c in ("funder", "installer"):
-        rules[c] = reduce(lambda a, b: a | b, [F.col(c) == v for v in (" ", "", "0", "_", "-")])
+        rules[c] = F.col(c).isin(*BLANK_TOKENS)
     for c in ("scheme_management", "permit"):
         rules[c] = F.col(c) == ""
     return {c: rule for c, rule in rules.items() if c in df.columns}

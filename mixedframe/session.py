@@ -42,12 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"mixedframe-{label}-{uuid.uuid4().hex}")
+_staged: list[str] = []
 
 
-_staged: list[str] = []
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder, which ``drop_staged`` deletes."""
+    _staged.append(os.path.join(shared_dir(spark), f"mixedframe-{label}-{uuid.uuid4().hex}"))
+    return _staged[-1]
 
 
 def drop_staged(spark: SparkSession) -> int:
@@ -67,7 +68,6 @@ def stage(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFra
     executor only costs a re-read.
     """
     path = scratch_path(df.sparkSession, label)
-    _staged.append(path)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -34,7 +34,7 @@ def rf(table):
     return features.fit_classifier(forest(11, 2, 5), table, "status", FEATURES)
 
 
-def accuracy(df, pred="predicted"):
+def accuracy(df, pred=features.PREDICTION):
     return df.agg(F.avg((F.col(pred) == F.col("status")).cast("double"))).first()[0]
 
 
@@ -64,6 +64,54 @@ def test_unseen_level_is_scored(table, rf):
     assert scoring.score(rf, odd, "id").count() == 600
 
 
+@pytest.mark.parametrize("make", [lambda: boosted(nrounds=1, max_depth=2), lambda: logistic(max_iter=5)])
+def test_unseen_level_is_scored_as_the_reference(table, make):
+    model = features.fit_classifier(make(), table, "status", FEATURES, True)
+    as_level = lambda v: scoring.score(model, table.withColumn("cat", F.lit(v)), "id")
+    both = as_level("never seen").join(as_level("f").withColumnRenamed("prediction", "reference"), "id")
+    assert both.count() == 600 and both.filter("prediction <> reference").count() == 0
+
+
+def test_reserved_sounding_columns(table):
+    odd = table.withColumnsRenamed({"status": "label", "x": "features", "y": "prediction", "cat": "probability"})
+    model = features.fit_classifier(forest(5, 2, 4), odd, "label", ["features", "prediction", "probability"])
+    assert scoring.score(model, odd, "id", "guess").join(odd, "id").filter("guess = label").count() > 500
+    held_out = validate.cross_validate(forest(3, 2, 4), odd, "id", "label", ["features", "probability"], k=2)
+    assert validate.fold_accuracy(held_out).agg(F.avg("accuracy")).first()[0] > 0.8
+
+
+def test_too_many_levels_are_refused(table, monkeypatch):
+    monkeypatch.setattr(features, "MAX_LEVELS", 50)
+    with pytest.raises(ValueError, match="more than 50 levels"):
+        features.feature_stages(table.withColumn("k", F.col("id").cast("string")), ["k"])
+
+
+def test_missing_predictions_count_as_wrong(spark):
+    df = spark.createDataFrame([("a", "a", None), ("b", "b", "b"), ("b", "a", "b"), ("a", None, "b")], "target string, m string, n string")
+    assert {r.model: r.accuracy for r in evaluate.accuracy_by_model(df, ["m", "n"], "target").collect()} == {"m": 0.5, "n": 0.5}
+    held = df.select(F.lit(0).alias("fold"), F.col("target").alias("obs"), F.col("m").alias("pred"))
+    assert validate.fold_accuracy(held).first().accuracy == 0.5
+
+
+def test_metrics_of_no_rows(spark):
+    none = spark.createDataFrame([], "p string, o string, s double")
+    assert evaluate.class_metrics(none, "p", "o").collect() == []
+    assert evaluate.overall_metrics(none, "p", "o").first().accuracy is None
+    assert evaluate.roc_curve(none, "s", F.col("o") == "a").collect() == []
+
+
+def test_partial_dependence_on_a_category(table, rf):
+    pdp = scoring.partial_dependence(rf, table, "cat").toPandas()
+    assert set(pdp["value"]) == {"f", "r", "n", "other"} and len(pdp) == 12
+    own = pdp[pdp["class"] == "non functional"].set_index("value")["effect"]
+    assert own.idxmax() == "n"
+
+
+def test_tuning_is_one_scan(table):
+    held_out = validate.tune(lambda depth: forest(3, 2, depth), table, "id", "status", ["x", "y"], [{"depth": 1}, {"depth": 2}], k=2)
+    assert held_out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_bins_cover_wide_categories(table):
     wide = table.withColumn("many", F.concat(F.lit("v"), (F.col("id") % 90).cast("string")))
     assert features.fit_classifier(forest(3, 2, 3), wide, "status", ["x", "many"]) is not None
@@ -74,7 +122,7 @@ def test_one_hot_drops_first_level(spark, table):
     model = features.feature_pipeline(table, "status", ["cat"], onehot=True).fit(table)
     assert scoring._slots(model) == ["cat"] * 3
     row = model.transform(table.filter("cat = 'f'")).first()
-    assert row.features.toArray().tolist() == [0.0, 0.0, 0.0]
+    assert row[features.FEATURES].toArray().tolist() == [0.0, 0.0, 0.0]
 
 
 def test_standardizer(spark):
@@ -164,7 +212,7 @@ def test_knn_cross_validation_and_stack(table):
     predictions = ensemble.prediction_table(held_out)
     assert predictions.count() == 600
     model = ensemble.stack(predictions, ["rf", "knn"], ntree=5)
-    assert model.transform(predictions).filter("predicted = target").count() > 560
+    assert model.transform(predictions).filter(f"{features.PREDICTION} = target").count() > 560
 
 
 def test_dissent_vote(spark):
@@ -191,6 +239,7 @@ def test_auc_of_reversed_score(spark):
     assert up == pytest.approx(1 - down)
     curve = evaluate.roc_curve(df, "s", F.col("y")).orderBy("threshold").collect()
     assert curve[0].sensitivity == 1.0 and curve[0].specificity == 0.0
+    assert (curve[-1].threshold, curve[-1].sensitivity, curve[-1].specificity) == (float("inf"), 0.0, 1.0)
     x = [1 - r.specificity for r in reversed(curve)]
     y = [r.sensitivity for r in reversed(curve)]
-    assert np.trapezoid([0, *y], [0, *x]) == pytest.approx(up)
+    assert np.trapezoid(y, x) == pytest.approx(up)

@@ -5,14 +5,9 @@ import re
 import pytest
 
 from __spark_entry__ import queries
+from mixedframe.plans import registered
 
 PAIR_PRODUCTS = ("CartesianProduct", "BroadcastNestedLoopJoin")
-MODEL_QUERIES = {
-    "ablation_results", "batch_scores", "boosted_scores", "forest_roc", "forest_scores", "importance_rows", "importance_table",
-    "logistic_scores", "model_roundtrip", "multinomial_scores", "nominal_forest", "partial_dependence",
-    "permutation_importance", "rfe_results", "stacked_scores", "tuning_results", "what_if_shift",
-}
-
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -23,7 +18,7 @@ def formatted(df) -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - MODEL_QUERIES))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_no_pair_product(spark, data_dir, name):
     text = plan(queries()[name](spark, data_dir))
     assert not [p for p in PAIR_PRODUCTS if p in text]

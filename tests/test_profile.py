@@ -12,17 +12,37 @@ def wells(spark):
 
 
 def test_crosstab_rows_sum_to_one_and_fill(wells):
-    got = {(r.kind, r.status): (r.n, r.share) for r in profile.crosstab_shares(wells, "kind", "status").collect()}
+    filled = profile.crosstab_shares(wells, "kind", "status", levels=["good", "bad"])
+    got = {(r.kind, r.status): (r.n, r.share) for r in filled.collect()}
     assert got == {
         ("a", "good"): (2, 0.67), ("a", "bad"): (1, 0.33), ("b", "good"): (0, 0.0),
         ("b", "bad"): (2, 1.0), (None, "good"): (1, 1.0), (None, "bad"): (0, 0.0),
     }
-    assert profile.crosstab_shares(wells, "kind", "status", fill=False).count() == 4
+    assert profile.crosstab_shares(wells, "kind", "status").count() == 4
 
 
-def test_crosstab_refuses_unbounded_levels(wells):
-    with pytest.raises(Exception, match="more than 1 levels"):
-        profile.crosstab_shares(wells, "kind", "status", max_levels=1).collect()
+def test_a_share_of_no_rows_is_unknown(wells):
+    none = wells.where("false")
+    assert profile.share(none, F.col("pay") > 0).first().share is None
+    assert profile.value_shares(none, "kind").collect() == profile.group_share(none, ["kind"], F.col("pay") > 0).collect() == []
+
+
+def test_structure_counts_levels_exactly(spark):
+    df = spark.range(30_000).select(F.col("id").alias("a"), (F.col("id") % 7).cast("string").alias("b"))
+    assert {r["column"]: r.n_levels for r in profile.describe_structure(df).collect()} == {"a": 30_000, "b": 7}
+
+
+def test_density_of_groups_of_equal_values(spark):
+    rows = [("one", 5.0)] + [("same", 100.0)] * 30 + [("mostly", 7.0)] * 20 + [("mostly", 90.0)] + [("spread", float(v)) for v in range(1, 50)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = distribution.density(df, "v", "g", grid=64).toPandas()
+    assert got.groupby("g").size().to_dict() == {"one": 64, "same": 64, "mostly": 64, "spread": 64}
+    assert (got.groupby("g")["density"].max() > 0).all() and got["density"].notna().all()
+    x = np.log10(np.array([float(v) for v in range(1, 50)]))
+    h = 1.8 * min(x.std(ddof=1), np.subtract(*np.quantile(x, [0.75, 0.25])) / 1.34) * 49**-0.2
+    own = got[got["g"] == "spread"].sort_values("grid_no")
+    exact = [2 * np.exp(-0.5 * ((p - x) / h) ** 2).sum() / (h * np.sqrt(2 * np.pi)) for p in own["x"]]
+    assert own["density"].to_numpy() == pytest.approx(exact, rel=1e-3, abs=1e-4)
 
 
 def test_class_profile(wells):
@@ -48,8 +68,10 @@ def test_lumper_fits_on_one_table(spark):
     train = spark.createDataFrame([(v,) for v in ["a", "a", "b", "c", "c", "d", None]], "x string")
     test = spark.createDataFrame([(v,) for v in ["a", "b", "new", None]], "x string")
     model = cleaning.TopKLumper("x", 3).fit(train)
-    assert model.levels == ("a", "c", "b")
-    assert [r.y for r in model.transform(test, "y").collect()] == ["a", "b", "other", "other"]
+    assert {r.x for r in model.levels.collect()} == {"a", "b", "c"}
+    assert sorted((r.x or "", r.y) for r in model.transform(test, "y").collect()) == [("", "other"), ("a", "a"), ("b", "b"), ("new", "other")]
+    many = spark.range(3000).select(F.col("id").cast("string").alias("x"))
+    assert cleaning.TopKLumper("x", 2000).fit(many).transform(many).where("x = 'other'").count() == 1000
 
 
 def test_group_median_imputation_counts_missing(spark):
