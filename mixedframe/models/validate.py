@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fold_of
-from ..operators.neighbours import knn_classify
+from ..operators.neighbours import NeighbourIndex, vote
 from ..session import scratch_path, stage
 from .features import FEATURES, INDEX, LABEL, SHARES, class_labels, feature_pipeline, widest_category, with_bins
 from .scoring import permutation_importance
@@ -121,14 +121,12 @@ def cross_validate(estimator: Estimator, df: DataFrame, key: str, target: str, f
 
 def cross_validate_knn(df: DataFrame, key: str, target: str, features: Sequence[str] | str, neighbours: int = 7,
                        k: int = 10, **options) -> DataFrame:
-    """Held-out predictions of the nearest-neighbour classifier."""
-    table = stage(df.withColumn("fold", fold_of(key, k)), "folds", by="fold")
-    parts = []
-    for fold in range(k):
-        test = table.filter(F.col("fold") == fold)
-        found = knn_classify(table.filter(F.col("fold") != fold), test, key, features, target, neighbours, "pred", **options)
-        parts.append(found.join(test.select(key, "fold", F.col(target).alias("obs")), key))
-    return union_all(parts).withColumnRenamed(key, "key")
+    """Held-out predictions of the nearest-neighbour classifier, from one index for all folds."""
+    named = [features] if isinstance(features, str) else list(features)
+    table = stage(df.select(key, target, *[c for c in named if c not in (key, target)]).withColumn("fold", fold_of(key, k)), "folds")
+    near = NeighbourIndex(key, features, neighbours, [target], apart="fold", **options).fit(table).join(table, key)
+    found = vote(near, key, target, "pred")
+    return found.join(table.select(key, "fold", F.col(target).alias("obs")), key).withColumnRenamed(key, "key")
 
 
 def fold_accuracy(held_out: DataFrame, by: Sequence[str] = ("setting",)) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fold_of
+from ..session import stage
 from .joins import attach_stats
-from .neighbours import knn_join
+from .neighbours import NeighbourIndex, knn_join
 from .ordered import exact_median
 
 
@@ -46,22 +47,16 @@ def knn_impute_cv(df: DataFrame, key: str, features: Sequence[str] | str, target
                   folds: int = 10, **options) -> DataFrame:
     """Held-out predictions (key, k, fold, obs, pred) of the neighbour mean for each k.
 
-    The largest k is searched once per fold; smaller k are prefixes of the same result.
+    One index serves all folds and the largest k; smaller k are prefixes of the same result.
+    A row without neighbours has no prediction.
     """
-    folded = df.withColumn("fold", fold_of(key, folds))
-    parts = []
-    for i in range(folds):
-        test = folded.filter(F.col("fold") == i)
-        near = knn_join(test, folded.filter(F.col("fold") != i), key, features, max(ks), payload=[target], **options)
-        sizes = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
-        means = (
-            near.select("*", sizes).filter(F.col("rank") <= F.col("k"))
-            .groupBy(key, "k").agg(F.avg(target).alias("pred"))
-        )
-        parts.append(
-            means.join(test.select(key, "fold", F.col(target).cast("double").alias("obs")), key)
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    named = [features] if isinstance(features, str) else list(features)
+    folded = stage(df.select(key, target, *[c for c in named if c not in (key, target)]).withColumn("fold", fold_of(key, folds)), "folds")
+    index = NeighbourIndex(key, features, max(ks), [target], apart="fold", **options).fit(folded)
+    sizes = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+    means = (
+        index.join(folded, key).select(key, "rank", target, sizes).filter(F.col("rank") <= F.col("k"))
+        .groupBy(key, "k").agg(F.avg(target).alias("pred"))
+    )
+    asked = folded.select(key, "fold", F.col(target).cast("double").alias("obs"), sizes)
+    return asked.join(means, [key, "k"], "left")

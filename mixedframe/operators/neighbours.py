@@ -4,19 +4,23 @@ The join never forms all pairs. Following the published Voronoi scheme for kNN
 joins on a shuffle engine (Lu et al., "Efficient Processing of k Nearest Neighbor
 Joins using MapReduce", PVLDB 2012):
 
-1. a bounded number of reference rows become pivots; every reference row belongs
+1. about sqrt(n) of n reference rows become pivots; every reference row belongs
    to the cell of its nearest pivot;
-2. per cell the row count, the distance range to the pivot and the k smallest
-   distances are kept (at most ``MAX_PIVOTS`` rows, held on the driver);
-3. for a query, pivot distance + small cell distances bound its k-th neighbour
-   from above; the triangle inequality then rules out every cell that is too far;
-4. the query visits the remaining cells only, and each visit returns its k best.
+2. per cell the row count and the distance range to the pivot are kept on the driver,
+   at most ``MAX_PIVOTS`` rows;
+3. a query first searches its home cells, the nearest ones that hold twice as many rows as
+   it wants, and so has a real k-th distance;
+4. the triangle inequality then rules out every other cell that is too far for that
+   distance, and only the remaining ones are searched.
 
 Skew: equal query vectors are searched once; of equal reference vectors only the
 first few keys can be neighbours, and the rest are dropped before the shuffle;
 cells with many rows are cut into blocks of bounded size on both sides, so no
 task ever holds a whole hot cell. Results are exact whatever the data look like;
 only the number of visited cells varies.
+
+A row without a complete vector is no reference; as a query it keeps one row
+without a neighbour.
 """
 
 from __future__ import annotations
@@ -39,10 +43,12 @@ from ..session import stage
 # the task functions below travel inside the job, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_PIVOTS = 2048
-HASH_RANGE = 2**32
+# pivots for some four thousand million references; beyond, cells hold more rows and have more blocks
+MAX_PIVOTS = 65_536
 BLOCK_REFS = 8192
 BLOCK_QUERIES = 16384
+# block pairs are heavy on processor time: up to so many tasks per shuffle partition
+TASKS_PER_PARTITION = 4
 PAIRS_PER_TASK = 8
 # slack on the pruning bounds, relative to the distances involved and far above rounding error
 SLACK = 1e-12
@@ -54,9 +60,8 @@ def _vector(features: Sequence[str] | str) -> Column:
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _with_vector(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
-    whole = F.col("__v").isNotNull() & ~F.exists("__v", lambda x: x.isNull() | F.isnan(x))
-    return df.withColumn("__v", _vector(features)).filter(whole)
+def _whole(vector: str) -> Column:
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
 
 
 def distances(queries: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -68,13 +73,19 @@ def distances(queries: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def nearest(queries: np.ndarray, refs: np.ndarray, k: int, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query row, reference row, distance) of the k nearest; ties keep the earlier reference."""
+def nearest(queries: np.ndarray, refs: np.ndarray, k: int, chunk: int = 512, apart: tuple | None = None
+            ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, reference row, distance) of the k nearest; ties keep the earlier reference.
+
+    ``apart`` has a group for each query and for each reference; equal groups are no neighbours.
+    """
     k = min(k, len(refs))
     for start in range(0, len(queries), chunk):
         d = distances(queries[start : start + chunk], refs)
+        if apart is not None:
+            d[apart[0][start : start + chunk, None] == apart[1]] = np.inf
         kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        row, col = np.nonzero(d <= kth[:, None])
+        row, col = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
         dist = d[row, col]
         order = np.lexsort((col, dist, row))
         row, col, dist = row[order], col[order], dist[order]
@@ -92,23 +103,37 @@ class Cells:
     rows: np.ndarray
     nearest_row: np.ndarray
     furthest_row: np.ndarray
-    # cell x k: smallest pivot distances of the cell's rows, infinite where there are fewer
-    smallest: np.ndarray
+
+    def _chunk(self) -> int:
+        return max(1, 4_000_000 // max(1, len(self.pivots)))
 
     def locate(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = distances(vectors, self.pivots)
-        cell = d.argmin(axis=1)
-        return cell, d[np.arange(len(d)), cell]
-
-    def visits(self, vectors: np.ndarray, k: int, chunk: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query row, cell) for every cell that may hold one of the k nearest rows."""
-        for start in range(0, len(vectors), chunk):
-            d = distances(vectors[start : start + chunk], self.pivots)
-            reach = (d[:, :, None] + self.smallest[None, :, :]).reshape(len(d), -1)
-            if reach.shape[1] > k:
-                bound = np.partition(reach, k - 1, axis=1)[:, k - 1]
-            else:
-                bound = np.full(len(d), np.inf)
+        cell, near = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+        for start in range(0, len(vectors), self._chunk()):
+            d = distances(vectors[start : start + self._chunk()], self.pivots)
+            own = d.argmin(axis=1)
+            cell[start : start + len(d)], near[start : start + len(d)] = own, d[np.arange(len(d)), own]
+        return cell, near
+
+    def _home(self, d: np.ndarray, wanted: int) -> np.ndarray:
+        """Which cells are searched first: the nearest ones up to twice the wanted rows."""
+        order = np.argsort(d, axis=1, kind="stable")
+        held = np.cumsum(self.rows[order], axis=1)
+        first = (held - self.rows[order]) < 2 * wanted
+        home = np.zeros(d.shape, bool)
+        np.put_along_axis(home, order, first, axis=1)
+        return home & (self.rows > 0)
+
+    def home(self, vectors: np.ndarray, wanted: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query row, cell) of the home cells."""
+        for start in range(0, len(vectors) if len(self.pivots) else 0, self._chunk()):
+            row, cell = np.nonzero(self._home(distances(vectors[start : start + self._chunk()], self.pivots), wanted))
+            yield row + start, cell
+
+    def others(self, vectors: np.ndarray, bound: np.ndarray, wanted: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query row, cell) of every other cell that may hold a row within ``bound``."""
+        for start in range(0, len(vectors) if len(self.pivots) else 0, self._chunk()):
+            d = distances(vectors[start : start + self._chunk()], self.pivots)
             closest = np.maximum(np.maximum(d - self.furthest_row, self.nearest_row - d), 0.0)
             # a cell's rows are nearer to its own pivot: hyperplane bound against the query's nearest pivot
             home = d.argmin(axis=1)
@@ -116,38 +141,43 @@ class Cells:
             with np.errstate(divide="ignore", invalid="ignore"):
                 plane = (d**2 - d[np.arange(len(d)), home, None] ** 2) / (2 * gap) - SLACK * d**2 / gap
             closest = np.maximum(closest, np.where(gap > 0, plane, 0.0))
-            limit = bound[:, None] + SLACK * (bound[:, None] + d + self.furthest_row)
-            row, cell = np.nonzero((closest <= limit) & (self.rows > 0))
+            own = bound[start : start + len(d), None]
+            limit = own + SLACK * (np.where(np.isfinite(own), own, 0.0) + d + self.furthest_row)
+            row, cell = np.nonzero((closest <= limit) & (self.rows > 0) & ~self._home(d, wanted))
             yield row + start, cell
 
 
 class NeighbourIndex:
-    """``fit`` describes a reference table; ``join`` finds neighbours of query rows in it."""
+    """``fit`` describes a reference table; ``join`` finds neighbours of query rows in it.
+
+    ``apart`` names a column of both tables: rows with equal values are no neighbours, so one
+    index serves all folds of a cross-validation.
+    """
 
     def __init__(self, key: str, features: Sequence[str] | str, k: int, payload: Sequence[str] = (),
                  exclude_self: bool = False, pivots: int | None = None,
-                 block_refs: int = BLOCK_REFS, block_queries: int = BLOCK_QUERIES):
+                 block_refs: int = BLOCK_REFS, block_queries: int = BLOCK_QUERIES, apart: str | None = None):
         self.key, self.features, self.k = key, features, k
-        self.payload, self.exclude_self = list(payload), exclude_self
+        self.payload, self.exclude_self, self.apart = list(payload), exclude_self, apart
         self.n_pivots, self.block_refs, self.block_queries = pivots, block_refs, block_queries
         self.wanted = k + 1 if exclude_self else k
 
+    def _group(self) -> Column:
+        return (F.col(self.apart) if self.apart else F.lit(None)).cast("string").alias("__g")
+
     def fit(self, ref: DataFrame) -> NeighbourIndex:
-        """Two passes: one picks pivots, one assigns the rows to cells and stores them."""
-        rows = _with_vector(ref, self.features).select(F.col(self.key).alias("__key"), "__v", *self.payload)
+        """Picks pivots, assigns the rows to cells and stores them."""
+        rows = ref.select(F.col(self.key).alias("__key"), _vector(self.features).alias("__v"), self._group(), *self.payload)
+        rows = rows.filter(_whole("__v"))
+        wanted = self.n_pivots or min(MAX_PIVOTS, int(np.ceil(np.sqrt(rows.count()))))
         # the rows with the smallest key hashes: a random choice that is the same on every run
-        picked = rows.select(key_hash("__key").alias("h"), "__key", "__v").orderBy("h", "__key").limit(MAX_PIVOTS).collect()
-        if not picked:
-            raise ValueError("the reference table has no complete row")
-        # fewer rows than asked for are all rows; otherwise the largest hash tells how many there are
-        count = len(picked) if len(picked) < MAX_PIVOTS else len(picked) * HASH_RANGE / (picked[-1]["h"] + 1)
-        wanted = self.n_pivots or int(np.ceil(np.sqrt(count)))
-        pivots = np.unique(np.array([r["__v"] for r in picked[:wanted]], dtype=float), axis=0)
+        picked = rows.select(key_hash("__key").alias("h"), "__key", "__v").orderBy("h", "__key").limit(wanted).collect()
+        pivots = np.unique(np.array([r["__v"] for r in picked], dtype=float), axis=0) if picked else np.zeros((0, 1))
         empty = np.zeros(len(pivots))
-        index = Cells(pivots, empty, empty, empty, np.zeros((len(pivots), 0)))
+        index = Cells(pivots, empty, empty, empty)
 
-        # of equal vectors only the first `wanted` keys can be among the nearest
-        copies = W.partitionBy("__v").orderBy("__key")
+        # of equal vectors only the first `wanted` keys of a group can be among the nearest
+        copies = W.partitionBy("__v", "__g").orderBy("__key")
         distinct = rows.withColumn("__copy", F.row_number().over(copies)).filter(F.col("__copy") <= self.wanted)
 
         schema = T.StructType(
@@ -162,26 +192,18 @@ class NeighbourIndex:
                     yield batch.assign(__cell=cell.astype("int32"), __d=d)
 
         self.refs = stage(distinct.drop("__copy").mapInPandas(assign, schema), "neighbours")
-        # at most MAX_PIVOTS x k rows and MAX_PIVOTS rows come to the driver
         per_cell = self.refs.groupBy("__cell").agg(
             F.count("*").alias("n"), F.min("__d").alias("lo"), F.max("__d").alias("hi")
         ).toPandas()
-        close = W.partitionBy("__cell").orderBy("__d")
-        small = (
-            self.refs.select("__cell", "__d").withColumn("rank", F.row_number().over(close))
-            .filter(F.col("rank") <= self.wanted).toPandas()
-        )
         rows_, lo, hi = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots))
-        smallest = np.full((len(pivots), self.wanted), np.inf)
         rows_[per_cell["__cell"]], lo[per_cell["__cell"]], hi[per_cell["__cell"]] = (
             per_cell["n"], per_cell["lo"], per_cell["hi"],
         )
-        smallest[small["__cell"], small["rank"] - 1] = small["__d"]
-        self.cells = Cells(pivots, rows_, lo, hi, smallest)
+        self.cells = Cells(pivots, rows_, lo, hi)
         return self
 
-    def _visits(self, vectors: DataFrame) -> DataFrame:
-        cells, k = self.cells, self.wanted
+    def _visits(self, vectors: DataFrame, first: bool) -> DataFrame:
+        cells, wanted = self.cells, self.wanted
         schema = T.StructType([*vectors.schema, T.StructField("__cell", T.IntegerType())])
 
         def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,19 +211,16 @@ class NeighbourIndex:
                 if not len(batch):
                     continue
                 points = np.stack(batch["__v"].to_numpy()).astype(float)
-                for row, cell in cells.visits(points, k):
+                found = cells.home(points, wanted) if first else cells.others(points, batch["__bound"].to_numpy(float), wanted)
+                for row, cell in found:
                     yield batch.iloc[row].assign(__cell=cell.astype("int32"))
 
         return vectors.mapInPandas(spread, schema)
 
-    def join(self, queries: DataFrame, key: str) -> DataFrame:
-        """(query key, ref_key, rank, distance, payload...): the k nearest reference rows,
-        ordered by distance, then reference key."""
-        spark = queries.sparkSession
-        points = _with_vector(queries, self.features).select(F.col(key).alias("__q"), "__v")
-        # equal query vectors are searched once, under the smallest of their keys
-        vectors = points.groupBy("__v").agg(F.min("__q").alias("__id"))
-        visits = stage(self._visits(vectors), "visits")
+    def _search(self, vectors: DataFrame, first: bool) -> DataFrame:
+        """(__id, __dist, __key, payload): the best rows of each visited block, at most ``wanted`` each."""
+        spark = vectors.sparkSession
+        visits = stage(self._visits(vectors, first), "visits")
         load = {r[0]: r[1] for r in visits.groupBy("__cell").count().collect()}
         shape = [
             (c, int(-(-self.cells.rows[c] // self.block_refs)), int(-(-n // self.block_queries)))
@@ -227,11 +246,11 @@ class NeighbourIndex:
             .withColumn("__qblock", every("__qb"))
         )
         block = ["__cell", "__rblock", "__qblock"]
-        # the number of block pairs is known, and each is heavy on processor time
         pairs = sum(r * q for _, r, q in shape)
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS_PER_TASK)
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(partitions, min(pairs // PAIRS_PER_TASK, TASKS_PER_PARTITION * partitions))
         left, right = left.repartition(tasks, *block), right.repartition(tasks, *block)
-        payload, k = self.payload, self.wanted
+        payload, k, grouped = self.payload, self.wanted, self.apart is not None
         fields = {f.name: f for f in self.refs.schema}
         schema = T.StructType(
             [T.StructField("__id", vectors.schema["__id"].dataType), T.StructField("__dist", T.DoubleType()),
@@ -246,32 +265,52 @@ class NeighbourIndex:
             q = np.stack(qs["__v"].to_numpy()).astype(float)
             r = np.stack(rs["__v"].to_numpy()).astype(float)
             ids = qs["__id"].to_numpy()
+            bounds = qs["__bound"].to_numpy(float)
+            groups = (qs["__g"].to_numpy(), rs["__g"].to_numpy()) if grouped else None
             found = []
-            for row, col, dist in nearest(q, r, k):
-                part = rs.iloc[col][["__key", *payload]].reset_index(drop=True)
-                part.insert(0, "__dist", dist)
-                part.insert(0, "__id", ids[row])
+            for row, col, dist in nearest(q, r, k, apart=groups):
+                near = dist <= bounds[row]
+                part = rs.iloc[col[near]][["__key", *payload]].reset_index(drop=True)
+                part.insert(0, "__dist", dist[near])
+                part.insert(0, "__id", ids[row[near]])
                 found.append(part)
             return pd.concat(found, ignore_index=True)[columns]
 
-        candidates = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(search, schema)
-        best = W.partitionBy("__id").orderBy("__dist", "__key")
-        ranked = candidates.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") <= k)
+        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(search, schema)
+
+    def _best(self, found: DataFrame) -> DataFrame:
+        order = W.partitionBy("__id").orderBy("__dist", "__key")
+        return found.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= self.wanted)
+
+    def join(self, queries: DataFrame, key: str) -> DataFrame:
+        """(query key, ref_key, rank, distance, payload...): the k nearest reference rows,
+        ordered by distance, then reference key. A query that has none keeps a row of nulls."""
+        points = queries.select(F.col(key).alias("__q"), _vector(self.features).alias("__v"), self._group())
+        # equal query vectors are searched once, under the smallest of their keys
+        vectors = points.filter(_whole("__v")).groupBy("__v", "__g").agg(F.min("__q").alias("__id"))
+        vectors = stage(vectors, "vectors")
+        endless = F.lit(float("inf"))
+        first = stage(self._search(vectors.withColumn("__bound", endless), True), "near")
+        kth = self._best(first).filter(F.col("__rank") == self.wanted).select("__id", F.col("__dist").alias("__kth"))
+        bounded = vectors.join(kth, "__id", "left").withColumn("__bound", F.coalesce("__kth", endless)).drop("__kth")
+        second = self._search(bounded, False)
         # at most k (+1) entries per distinct query vector
-        entry = F.struct("__rank", "__dist", "__key", *payload)
-        lists = ranked.groupBy("__id").agg(F.array_sort(F.collect_list(entry)).alias("__near"))
-        result = points.join(vectors.join(lists, "__id").drop("__id"), "__v")
+        entry = F.struct("__rank", "__dist", "__key", *self.payload)
+        lists = self._best(first.unionByName(second)).groupBy("__id").agg(F.array_sort(F.collect_list(entry)).alias("__near"))
+        known = vectors.join(lists, "__id").select("__v", F.col("__g").alias("__h"), "__near")
+        same = (points["__v"] == known["__v"]) & points["__g"].eqNullSafe(known["__h"])
+        result = points.join(known, same, "left").select(points["__q"], "__near")
         near = F.col("__near")
         if self.exclude_self:
             near = F.filter(near, lambda e: e["__key"] != F.col("__q"))
         return (
-            result.select("__q", F.posexplode(F.slice(near, 1, self.k)).alias("pos", "e"))
+            result.select("__q", F.posexplode_outer(F.slice(near, 1, self.k)).alias("pos", "e"))
             .select(
                 F.col("__q").alias(key),
                 F.col("e.__key").alias("ref_key"),
                 (F.col("pos") + 1).alias("rank"),
                 F.col("e.__dist").alias("distance"),
-                *[F.col(f"e.{p}").alias(p) for p in payload],
+                *[F.col(f"e.{p}").alias(p) for p in self.payload],
             )
         )
 
@@ -285,7 +324,10 @@ def knn_join(queries: DataFrame, ref: DataFrame, key: str, features: Sequence[st
 
 
 def vote(neighbours: DataFrame, key: str, label: str, output: str = "prediction") -> DataFrame:
-    """Majority label per query; a tie goes to the smaller summed distance, then the label."""
+    """Majority label per query; a tie goes to the smaller summed distance, then the label.
+
+    A query without a neighbour has no prediction.
+    """
     counts = neighbours.groupBy(key, label).agg(F.count("*").alias("n"), F.sum("distance").alias("d"))
     ranking = F.struct(-F.col("n"), F.round("d", 9), F.col(label))
     return counts.groupBy(key).agg(F.min_by(label, ranking).alias(output))

@@ -354,18 +354,18 @@ def knn_impute_query(t):
     "knn_impute_cv",
     """
     WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS lat, embedding[2]::DOUBLE AS lon, embedding[3]::DOUBLE AS y,
-                      (('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT) % 2 AS fold FROM embeddings),
+                      (('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT) % 10 AS fold FROM embeddings),
          d AS (SELECT q.vec_id, q.y AS obs, r.y, row_number() OVER (PARTITION BY q.vec_id
                       ORDER BY sqrt((q.lat - r.lat) * (q.lat - r.lat) + (q.lon - r.lon) * (q.lon - r.lon)), r.vec_id) AS rank
                FROM p q JOIN p r ON q.fold <> r.fold),
-         m AS (SELECT k, vec_id, max(obs) AS obs, avg(y) AS pred FROM d JOIN (VALUES (5), (9)) s(k) ON rank <= k GROUP BY k, vec_id)
+         m AS (SELECT k, vec_id, max(obs) AS obs, avg(y) AS pred FROM d JOIN (VALUES (5), (7), (9), (11)) s(k) ON rank <= k GROUP BY k, vec_id)
     SELECT k, count(*) AS n, round(pow(corr(pred, obs), 2), 6) AS r2, round(sqrt(avg(pow(pred - obs, 2))), 6) AS rmse,
            round(avg(abs(pred - obs)), 6) AS mae FROM m GROUP BY k
     """,
 )
 def knn_impute_cv_query(t):
-    """Held-out quality of the neighbour mean for two neighbour counts."""
+    """Held-out quality of the neighbour mean for four neighbour counts, in ten folds."""
     e = F.col("embedding")
     points = t("embeddings").select("vec_id", *[e[i].cast("double").alias(c) for i, c in enumerate(("lat", "lon", "y"))])
-    out = regression_metrics(knn_impute_cv(points, "vec_id", ["lat", "lon"], "y", (5, 9), 2), "pred", "obs", ["k"])
+    out = regression_metrics(knn_impute_cv(points, "vec_id", ["lat", "lon"], "y", (5, 7, 9, 11), 10), "pred", "obs", ["k"])
     return out.select("k", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "mae")])

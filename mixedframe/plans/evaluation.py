@@ -222,15 +222,19 @@ def knn_join_query(t):
 @query(
     "knn_classify",
     """
-    WITH d AS (SELECT q.vec_id, r.vec_id AS ref_key, r.label, list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS d
-               FROM embeddings q JOIN embeddings r ON q.vec_id % 4 = 0 AND r.vec_id % 4 <> 0),
-         k AS (SELECT vec_id, label, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, ref_key) AS rank FROM d),
-         v AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, round(sum(d), 9), label) AS place
-               FROM k WHERE rank <= 7 GROUP BY vec_id, label)
-    SELECT vec_id, label AS prediction FROM v WHERE place = 1
+    WITH p AS (SELECT p_partkey, p_type, p_size / 16.0::DOUBLE AS x, p_retailprice / 128.0 AS y, length(p_name) / 4.0::DOUBLE AS z FROM part),
+         d AS (SELECT q.p_partkey, r.p_partkey AS ref_key, r.p_type,
+                      sqrt((q.x - r.x) * (q.x - r.x) + (q.y - r.y) * (q.y - r.y) + (q.z - r.z) * (q.z - r.z)) AS d
+               FROM p q JOIN p r ON q.p_partkey % 4 = 0 AND r.p_partkey % 4 <> 0),
+         k AS (SELECT p_partkey, p_type, d, row_number() OVER (PARTITION BY p_partkey ORDER BY d, ref_key) AS rank FROM d),
+         v AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_partkey ORDER BY count(*) DESC, round(sum(d), 9), p_type) AS place
+               FROM k WHERE rank <= 7 GROUP BY p_partkey, p_type)
+    SELECT p_partkey, p_type AS prediction FROM v WHERE place = 1
     """,
 )
 def knn_classify_query(t):
-    e = t("embeddings").select("vec_id", "embedding", "label")
-    held_out = F.col("vec_id") % 4 == 0
-    return knn_classify(e.filter(~held_out), e.filter(held_out), "vec_id", "embedding", "label", 7)
+    """The type of a part from size, price and length of name, each brought to a like scale."""
+    scaled = {"x": F.col("p_size") / 16, "y": F.col("p_retailprice") / 128, "z": F.char_length("p_name") / 4}
+    parts = t("part").select("p_partkey", "p_type", *[c.alias(n) for n, c in scaled.items()])
+    held_out = F.col("p_partkey") % 4 == 0
+    return knn_classify(parts.filter(~held_out), parts.filter(held_out), "p_partkey", list(scaled), "p_type", 7)

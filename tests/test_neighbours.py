@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mixedframe.operators.impute import knn_impute, knn_impute_cv
-from mixedframe.operators.neighbours import knn_classify, knn_join, nearest
+from mixedframe.operators.neighbours import NeighbourIndex, knn_classify, knn_join, nearest
 from mixedframe.models.evaluate import regression_metrics
 
 
@@ -65,8 +65,34 @@ def test_two_tables_and_payload(spark):
 def test_fewer_references_than_k_and_incomplete_rows(spark):
     refs = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, None)], "id long, f double")
     queries = spark.createDataFrame([(9, 0.2), (8, None)], "id long, f double")
-    got = knn_join(queries, refs, "id", ["f"], 5).orderBy("rank").collect()
-    assert [(r.id, r.ref_key, r["rank"]) for r in got] == [(9, 1, 1), (9, 2, 2)]
+    got = knn_join(queries, refs, "id", ["f"], 5).orderBy("id", "rank").collect()
+    # a query without a complete vector stays, without a neighbour
+    assert [(r.id, r.ref_key, r["rank"]) for r in got] == [(8, None, None), (9, 1, 1), (9, 2, 2)]
+    labelled = refs.withColumn("l", F.lit("x"))
+    assert {r.id: r.prediction for r in knn_classify(labelled, queries, "id", ["f"], "l", 2).collect()} == {8: None, 9: "x"}
+    assert [r.ref_key for r in knn_join(queries, refs.where("false"), "id", ["f"], 5).collect()] == [None, None]
+
+
+def test_visited_share_falls_with_the_table(spark):
+    share = {}
+    for n in (500, 8000):
+        x = cloud(n, 3, 4, copies=False)
+        index = NeighbourIndex("id", ["f0", "f1", "f2"], 5).fit(frame(spark, x))
+        d = np.sort(np.sqrt(((x[:100, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 4]
+        seen = sum(len(c) for _, c in index.cells.others(x[:100], d, 5)) + sum(len(c) for _, c in index.cells.home(x[:100], 5))
+        share[n] = seen / 100 / len(index.cells.pivots)
+    assert share[8000] < 0.5 * share[500]
+
+
+def test_rows_of_one_fold_are_no_neighbours(spark):
+    x = cloud(300, 2, 3)
+    fold = np.arange(300) % 5
+    df = frame(spark, x, fold=fold)
+    index = NeighbourIndex("id", ["f0", "f1"], 4, apart="fold", pivots=12, block_refs=40, block_queries=60).fit(df)
+    got = index.join(df, "id").toPandas().sort_values(["id", "rank"])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d[fold[:, None] == fold[None]] = np.inf
+    assert got["ref_key"].to_numpy().reshape(-1, 4).tolist() == np.argsort(d, axis=1, kind="stable")[:, :4].tolist()
 
 
 def test_vote_tie_breaks(spark):
