@@ -27,7 +27,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = LanguageModel.fit(docs.where(~held_out(F.col("doc_id"), 3, 1)))
     if not model.langs:
         return docs
-    return model.predict(docs).where(~rejected()).select(*docs.columns)
+    names = ("__lang_pred", "__lang_score")
+    return model.predict(docs, names=names).where(~rejected(names=names)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ its size has a bound. A text's score is the posterior share of the predicted lan
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is
 everything when there is nothing to learn from; a null doc_id counts as the empty text in
-the split; columns named lang_pred or score are replaced.
+the split; columns with the names of the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -142,22 +142,22 @@ class LanguageModel:
         share = 1 / np.exp(fits - fits.max(axis=1, keepdims=True)).sum(axis=1)
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best, spoken)], np.where(spoken, share, 0.0)
 
-    def predict(self, docs: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
-        """``docs`` with lang_pred and score, without the columns named in ``drop``."""
-        docs = docs.drop("lang_pred", "score")
+    def predict(self, docs: DataFrame, drop: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+        """``docs`` with the predicted language and its score, without the columns named in ``drop``."""
+        docs = docs.drop(*names)
         kept = [c for c in docs.columns if c not in drop]
-        fields = [docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        fields = [docs.schema[c] for c in kept] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
         model = docs.sparkSession.sparkContext.broadcast((self.langs, self.prior, self.log_share))
 
         def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = LanguageModel(*model.value)
             for batch in batches:
                 lang, score = own._classify(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score)], [*kept, *names])
 
         return docs.mapInArrow(classify, T.StructType(fields))
 
 
-def rejected(min_score: float = 0.5) -> Column:
+def rejected(min_score: float = 0.5, names: tuple[str, str] = ("lang_pred", "score")) -> Column:
     """Whether a scored document has no language worth keeping: no letter, or no clear winner."""
-    return (F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)
+    return (F.col(names[0]) == UNKNOWN) | (F.col(names[1]) < min_score)

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-#: tables of at most so many rates, some hundred bytes each, are sent to every executor
-SMALL = 10_000
+#: at most so many steps of all sources together (8 MB) are sent to every executor
+SMALL = 1_000_000
 SEED = "mix-1"
 
 
@@ -66,7 +66,8 @@ def mix_sources(
 ) -> DataFrame:
     """The columns of ``docs`` and __copy (from 1) and __place, one row per copy, in order of __place in each part."""
     rates = mixture_rates(docs, weights, exponent, epochs)
-    few = rates.limit(SMALL + 1).count() <= SMALL
+    length = rates.agg(F.sum(F.col("rate") + 10 * F.sqrt("rate") + 32)).first()[0] or 0.0
+    few = length <= SMALL
     steps = rates.select(F.col("source").alias("__source"), poisson_steps(F.col("rate")).alias("__below"))
     steps = F.broadcast(steps) if few else steps
     drawn = uniform(F.lit(seed), F.col("doc_id"))

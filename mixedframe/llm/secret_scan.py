@@ -8,8 +8,8 @@ character class (hexadecimal, or letters of both cases mixed with digits). Place
 UUIDs and parts of addresses are on the allow-list and suppress such a candidate; spans of
 the fixed patterns are never suppressed.
 
-Defined cases: a null text is empty; columns of the input pass through, a column named
-``secrets`` is replaced.
+Defined cases: a null text is empty; columns of the input pass through, one with the name
+of the output is replaced.
 """
 
 from __future__ import annotations
@@ -86,8 +86,8 @@ def _of_kind(spans: Column, kind: str) -> Column:
     )
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``secrets``: array of (start, order, kind, end, value) by start, then kind."""
+def scan_secrets(docs: DataFrame, output: str = "secrets") -> DataFrame:
+    """``docs`` with ``output``: array of (start, order, kind, end, value) by start, then kind."""
     text = F.col("__text")
     rows = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     assigned = F.filter(
@@ -107,7 +107,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     inputs = F.struct(text.alias("text"), F.col("__base").alias("base"), F.col("__found").alias("found"))
     more = let(inputs, lambda x: F.filter(x.found, lambda s: free(x.base, s) & _secret_like(x.text, s)))
     more = F.when(F.size("__found") > 0, _of_kind(more, "entropy")).otherwise(F.slice("__base", 1, 0))
-    return rows.withColumn("secrets", F.array_sort(F.concat("__base", more))).drop("__text", "__base", "__found")
+    return rows.withColumn(output, F.array_sort(F.concat("__base", more))).drop("__text", "__base", "__found")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``, overlapping ones by one; n_chars follows if present."""
-    found = scan_secrets(docs)
+    found = scan_secrets(docs, "__secrets")
 
     def cut(x: Column) -> Column:
         state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -135,11 +135,11 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             fresh = F.struct(span.end.alias("at"), F.concat(s.out, piece).alias("out"))
             return F.when(span.start >= s.at, fresh).otherwise(F.struct(F.greatest(s.at, span.end).alias("at"), s.out.alias("out")))
 
-        done = F.aggregate(x.secrets, state, step)
+        done = F.aggregate(x["__secrets"], state, step)
         return let(done, lambda d: F.concat(F.array_join(d.out, ""), F.substring(x.text, d.at + 1, F.char_length(x.text))))
 
-    text = F.when(F.size("secrets") > 0, let(F.struct("text", "secrets"), cut)).otherwise(F.col("text"))
+    text = F.when(F.size("__secrets") > 0, let(F.struct("text", "__secrets"), cut)).otherwise(F.col("text"))
     changed = found.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("secrets") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)

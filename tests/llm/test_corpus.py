@@ -147,6 +147,23 @@ def test_pipeline_stages(staged):
     assert Counter(r.doc_id for r in before.collect()) == Counter(r.doc_id for r in after.collect())
 
 
+def test_stages_keep_columns_whatever_their_names(spark, data_dir):
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").limit(40)
+    names = ("score", "lang_pred", "secrets", "personal", "kept", "copy", "rate", "n", "bucket")
+    rows = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for _, apply in corpus_pipeline.STAGES[:-1]:
+        rows = apply(spark, rows, data_dir)
+        assert rows.columns == [*docs.columns, *names]
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows.collect() for c in names)
+
+
+def test_many_sources_are_joined_without_a_broadcast(spark, sourced, monkeypatch):
+    docs, _ = sourced
+    want = sorted((r.doc_id or -1, r.source or "", r["__copy"]) for r in mix_sources(docs).collect())
+    monkeypatch.setattr("mixedframe.llm.mixing.SMALL", 0)
+    assert sorted((r.doc_id or -1, r.source or "", r["__copy"]) for r in mix_sources(docs).collect()) == want
+
+
 def test_pipeline_over_an_empty_table(spark, data_dir):
     rows = spark.read.parquet(f"{data_dir}/documents.parquet").where("false")
     for _, apply in corpus_pipeline.STAGES:
