@@ -104,7 +104,8 @@ def _buckets(reps: DataFrame) -> DataFrame:
     keys = [F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), F.substring("sig", j * width + 1, width)).alias("key")) for j in range(BANDS)]
     banded = reps.select("doc_id", F.explode(F.array(*keys)).alias("b")).select("doc_id", "b.band", "b.key")
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    return banded.join(shared.drop("n"), "key")
+    # a written table, as any other here that is joined to a hot key: adaptive execution splits joins of plain shuffles
+    return banded.join(stage(shared.drop("n"), "shared"), "key")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,6 +169,7 @@ def _unfinished_links(buckets: DataFrame, labels: DataFrame, reps: DataFrame, se
         .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("n_comps"))
         .where("n_comps > 1")
     )
+    split = stage(split, "split")
     blocks = lambda n: F.ceil(n / CELL)
     open_members = stage(
         members.join(split, "key")
@@ -231,6 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Dat
         links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(more)
         labels = components(links)
     placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*marks, F.coalesce("label", "rep").alias("component"))
+    placed = stage(placed, "placed")
     return (
         drawn.drop("sig")
         .join(placed, marks, "left")
