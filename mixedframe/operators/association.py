@@ -5,8 +5,8 @@
 * category - category: Cramer's V without continuity correction.
 
 Null cells are left out pair by pair. A pair in which a column is constant has no
-association and gives null. The whole matrix takes one job per kind of pair, and
-each pair is computed once and mirrored.
+association and gives null. The columns are stored once, and each pair is computed once
+and mirrored.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
+
 NUMBER, CATEGORY = "number", "category"
 
 
@@ -84,7 +86,8 @@ def _ratio_pairs(df: DataFrame, numbers: Sequence[str], categories: Sequence[str
             ]
         ).alias("__s")
     )
-    parts = per_level.select("__cat", F.inline("__s")).filter(F.col("cnt") > 0)
+    # written once, for the grand means and for the sums around them
+    parts = stage(per_level.select("__cat", F.inline("__s")).filter(F.col("cnt") > 0), "levels")
     # one row per (category column, number column): bounded by the square of the column count
     whole = parts.groupBy("__cat", "num").agg(
         (F.sum(F.col("mean") * F.col("cnt")) / F.sum("cnt")).alias("grand")
@@ -121,6 +124,8 @@ def _category_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
         .groupBy("pair", "x", "y")
         .agg(F.count("*").alias("n"))
     )
+    # written once, for both margins and for the cells themselves
+    cells = stage(cells, "cells")
     rows = cells.groupBy("pair", "x").agg(F.sum("n").alias("nx"))
     cols = cells.groupBy("pair", "y").agg(F.sum("n").alias("ny"))
     sizes = rows.groupBy("pair").agg(F.count("*").alias("levels_x"), F.sum("nx").alias("total"))
@@ -148,6 +153,15 @@ def _category_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
     )
 
 
+def _category_selves(df: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """A category with itself: 1 unless it is constant."""
+    levels = df.select(*categories).unpivot([], list(categories), "col_x", "__level").filter(F.col("__level").isNotNull())
+    counts = levels.groupBy("col_x", "__level").agg(F.count("*").alias("__n"))
+    return counts.groupBy("col_x").agg(F.sum("__n").alias("n"), F.count("*").alias("__levels")).select(
+        "col_x", F.col("col_x").alias("col_y"), "n", F.when(F.col("__levels") > 1, 1.0).alias("r")
+    )
+
+
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     return _number_pairs(df, [(a, b)])
 
@@ -165,14 +179,18 @@ def association_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     kinds = column_kinds(df, cols)
     numbers = [c for c, k in kinds.items() if k == NUMBER]
     categories = [c for c, k in kinds.items() if k == CATEGORY]
-    data = df.select(*kinds)
+    # written once: the input may be a join, and every kind of pair reads its columns
+    data = stage(df.select(*kinds), "mixed")
     parts = []
     if numbers:
         parts.append(_number_pairs(data, column_pairs(numbers)).withColumn("kind", F.lit("pearson")))
     if numbers and categories:
         parts.append(_ratio_pairs(data, numbers, categories).withColumn("kind", F.lit("correlation_ratio")))
     if categories:
-        parts.append(_category_pairs(data, column_pairs(categories)).withColumn("kind", F.lit("cramers_v")))
+        parts.append(_category_selves(data, categories).withColumn("kind", F.lit("cramers_v")))
+        pairs = [(a, b) for a, b in column_pairs(categories) if a != b]
+        if pairs:
+            parts.append(_category_pairs(data, pairs).withColumn("kind", F.lit("cramers_v")))
     half = parts[0]
     for part in parts[1:]:
         half = half.unionByName(part)

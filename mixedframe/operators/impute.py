@@ -9,24 +9,48 @@ from pyspark.sql import functions as F
 
 from ..functions import fold_of
 from ..session import stage
-from .joins import attach_stats
+from .joins import attach_stats, join_null_safe
 from .neighbours import NeighbourIndex, knn_join
-from .ordered import exact_median
+from .ordered import exact_median, exact_quantiles
 
 
-def impute_group_median(df: DataFrame, key: str, c: str, missing: Column | None = None, output: str | None = None) -> DataFrame:
+def impute_group_median(df: DataFrame, key: str, c: str, missing: Column | None = None, output: str | None = None,
+                        medians: DataFrame | None = None) -> DataFrame:
     """Replace missing numbers by the median of the row's group.
 
     The median is over all rows of the group, the missing form included, so a group
     that is mostly missing keeps a low value. ``missing`` defaults to ``c < 2``.
+    ``medians`` from ``group_medians`` of another table applies what was learned there; a
+    group unknown to it then keeps null. By default the table's own medians are used.
     """
     missing = F.col(c) < 2 if missing is None else missing
-    medians = exact_median(df, c, [key], "__med")
+    medians = group_medians(df, key, c) if medians is None else medians
     filled = attach_stats(df, medians, [key])
     value = F.when(missing, F.col("__med")).otherwise(F.col(c).cast("double"))
     return filled.withColumn(output or c, value).drop("__med")
 
 
+def group_medians(df: DataFrame, key: str, c: str) -> DataFrame:
+    """The median of each group, as ``impute_group_median`` applies it."""
+    return exact_median(df, c, [key], "__med")
+
+
+def audit_group_median(df: DataFrame, key: str, c: str, missing: Column | None = None) -> DataFrame:
+    """Groups whose median moves when missing numbers get the group's median: (key, median_before, median_after).
+
+    The rows are read once: a group's values and how often each occurs, missing or not,
+    give both medians.
+    """
+    missing = F.col(c) < 2 if missing is None else missing
+    value = F.col(c).cast("double")
+    counted = df.select(key, value.alias("__v"), F.coalesce(missing, F.lit(False)).alias("__gone"))
+    values = stage(counted.groupBy(key, "__v", "__gone").agg(F.count("*").alias("__rows")), "values")
+    before = stage(exact_quantiles(values, "__v", {"median_before": 0.5}, [key], weight="__rows"), "medians")
+    after = attach_stats(values, before, [key]).withColumn("__v", F.when(F.col("__gone"), F.col("median_before")).otherwise(F.col("__v")))
+    moved = exact_quantiles(after, "__v", {"median_after": 0.5}, [key], weight="__rows")
+    return join_null_safe(before, moved, [key]).filter(F.col("median_before") != F.col("median_after"))
+
+
 def knn_impute(df: DataFrame, key: str, features: Sequence[str] | str, target: str, k: int = 5,
                missing: Column | None = None, output: str = "imputed", ref: DataFrame | None = None, **options) -> DataFrame:
     """Replace missing targets by the mean target of the k nearest known rows.

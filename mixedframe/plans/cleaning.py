@@ -20,7 +20,7 @@ from ..functions import (
 from ..models.features import Standardizer, levels_of, one_hot
 from ..operators.cleaning import ServiceYears, TopKLumper, align_levels, regex_value_counts
 from ..models.evaluate import regression_metrics
-from ..operators.impute import impute_group_median, knn_impute, knn_impute_cv
+from ..operators.impute import audit_group_median, impute_group_median, knn_impute, knn_impute_cv
 from ..operators.profile import imputation_audit, null_profile, value_counts
 from .registry import query
 
@@ -321,8 +321,7 @@ def impute_group_median_query(t):
 )
 def imputation_audit_query(t):
     customer = t("customer").select("c_nationkey", "c_acctbal")
-    filled = impute_group_median(customer, "c_nationkey", "c_acctbal", output="balance2")
-    audit = imputation_audit(filled, "c_nationkey", "c_acctbal", "balance2")
+    audit = audit_group_median(customer, "c_nationkey", "c_acctbal")
     return audit.select("c_nationkey", F.round("median_before", 6).alias("median_before"), F.round("median_after", 6).alias("median_after"))
 
 

@@ -13,12 +13,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import BLANK_TOKENS, blank_to, canonicalize, log10_or_zero, recode, year_of
-from ..models import ensemble, scoring, validate
+from ..functions import BLANK_TOKENS, blank_to, canonicalize, collapse_target, log10_or_zero, recode, year_of
+from ..models import ensemble, evaluate, scoring, validate
 from ..models.estimators import boosted, forest, logistic
 from ..models.features import PREDICTION, Standardizer, fit_classifier
 from ..operators.cleaning import ServiceYears, ServiceYearsModel, TopKLumper, TopKLumperModel
-from ..operators.impute import impute_group_median
+from ..operators.impute import group_medians, impute_group_median
 from ..operators.joins import left_join
 from ..operators.neighbours import NeighbourIndex, vote
 from ..session import stage
@@ -73,6 +73,25 @@ MULTINOMIAL_FEATURES = (
     "waterpoint_type",
 )
 NEIGHBOUR_FEATURES = ("longitude", "latitude", "gps_height", "pop_log3", "amount_log", "years_op")
+# Features offered to elimination (BOOSTED_FEATURES) and what it leaves out, sizes and
+# settings tried, single substitutions (left out, put in), and the two lists of the two-class model.
+ELIMINATED = ("amount_tsh", "source_type", "permit")
+SIZES = (4, 6, 8, 10, 12)
+TREE_COUNTS = (51, 101, 201, 301, 501)
+COLUMNS_TRIED = (2, 3, 4, 5)
+SUBSTITUTIONS = {
+    "installer10": (["installer20"], ["installer10"]), "funder20": ([], ["funder20"]),
+    "extraction_type_class": (["extraction_type_group"], ["extraction_type_class"]),
+    "management_group": (["management"], ["management_group"]), "pop_log": (["pop_log3"], ["pop_log"]),
+    "pop_log2": (["pop_log3"], ["pop_log2"]), "amount_log": (["payment_type"], ["amount_log"]),
+    "construction_year": (["years_op"], ["construction_year"]),
+}
+TWO_CLASS_FEATURES = {
+    "all": ("amount_tsh", "installer10", "longitude", "latitude", "gps_height", "permit", "pop_log3", "years_op",
+            "extraction_type_group", "management", "payment_type", "source_type", "waterpoint_type"),
+    "fewer": ("installer10", "gps_height", "years_op", "payment_type", "region", "source_type", "waterpoint_type"),
+}
+TWO_CLASS = "status_group2"
 NEIGHBOURS = 7
 POPULATION_NEIGHBOURS = 5
 
@@ -104,6 +123,7 @@ class WellsCleanerModel:
     years: ServiceYearsModel
     lumpers: Mapping[str, TopKLumperModel]
     population: NeighbourIndex
+    medians: DataFrame
 
     def transform(self, df: DataFrame) -> DataFrame:
         rows = self.years.transform(row_cleaning(df))
@@ -111,7 +131,7 @@ class WellsCleanerModel:
         for output, lumper in self.lumpers.items():
             cleaned = lumper.transform(cleaned, output)
         cleaned = cleaned.drop("funder_name", "installer_name")
-        cleaned = impute_group_median(cleaned, "region_code", "population", output="population2")
+        cleaned = impute_group_median(cleaned, "region_code", "population", output="population2", medians=self.medians)
         cleaned = cleaned.withColumn("pop_log2", log10_or_zero("population2"))
         # a well without a known population gets the mean of its nearest known wells
         missing = F.col("pop_log") == 0
@@ -136,7 +156,8 @@ class WellsCleaner:
         }
         known = cleaned.filter(F.col("population") > 1)
         population = NeighbourIndex(KEY, ["latitude", "longitude"], self.neighbours, ["pop_log"]).fit(known)
-        return WellsCleanerModel(ServiceYears("year_recorded", "construction_year").fit(cleaned), lumpers, population)
+        medians = stage(group_medians(cleaned, "region_code", "population"), "medians")
+        return WellsCleanerModel(ServiceYears("year_recorded", "construction_year").fit(cleaned), lumpers, population, medians)
 
 
 @dataclass(frozen=True)
@@ -207,6 +228,58 @@ def fit_models(train: DataFrame, k: int = 10, forest_params: Mapping | None = No
     return WellsModels(pipelines, NeighbourClassifier.fit(train), stacked)
 
 
+SELECTED_FEATURES = tuple(c for c in BOOSTED_FEATURES if c not in ELIMINATED)
+
+
+def eliminate_features(train: DataFrame, sizes: Sequence[int] = SIZES, k: int = 10, ntree: int = 501) -> tuple[DataFrame, list[str]]:
+    """(size, k, accuracy, accuracy_sd, ci) of recursive elimination, and the features in order of rank."""
+    held_out, ranking = validate.rfe(lambda n: forest(ntree, max(1, round(n**0.5))), train, KEY, TARGET, BOOSTED_FEATURES, sizes, k)
+    return validate.summarize_folds(validate.fold_accuracy(held_out, ["size"]), ["size"]), ranking
+
+
+def tune_forest(train: DataFrame, trees: Sequence[int] = TREE_COUNTS, mtry: Sequence[int] = COLUMNS_TRIED, k: int = 10, ntree: int = 201) -> DataFrame:
+    """(setting, k, accuracy, accuracy_sd, ci) for each tree count with 3 columns tried, and each number of columns."""
+    grid = list({(n, m): {"ntree": n, "mtry": m} for n, m in [*((n, 3) for n in trees), *((ntree, m) for m in mtry)]}.values())
+    held_out = validate.tune(lambda ntree, mtry: forest(ntree, mtry), train, KEY, TARGET, SELECTED_FEATURES, grid, k)
+    return validate.summarize_folds(validate.fold_accuracy(held_out))
+
+
+def substitute_features(train: DataFrame, k: int = 10, ntree: int = 201, mtry: int = 3) -> DataFrame:
+    """(setting, k, accuracy, accuracy_sd, ci) of the selected features and of each single substitution."""
+    held_out = validate.ablate(forest(ntree, mtry), train, KEY, TARGET, SELECTED_FEATURES, SUBSTITUTIONS, k)
+    return validate.summarize_folds(validate.fold_accuracy(held_out))
+
+
+def with_two_classes(df: DataFrame) -> DataFrame:
+    """Wells in need of repair count as not functional."""
+    return df.withColumn(TWO_CLASS, collapse_target(TARGET, ["functional"], "functional", "non functional"))
+
+
+def two_class_models(train: DataFrame, k: int = 10) -> DataFrame:
+    """Held-out predictions of the two-class logistic model, with ``setting`` naming its feature list."""
+    rows = with_two_classes(train)
+    parts = [
+        validate.cross_validate(logistic("binomial"), rows, KEY, TWO_CLASS, features, k, onehot=True).withColumn("setting", F.lit(name))
+        for name, features in TWO_CLASS_FEATURES.items()
+    ]
+    return validate.union_all(parts)
+
+
+def compare_accuracies(held_out: Mapping[str, DataFrame], holdout: DataFrame, models: Sequence[str]) -> DataFrame:
+    """(model, accuracy, ci, holdout): cross-validated accuracy beside that on other labelled wells.
+
+    ``holdout`` has the target and a prediction column per model; a model that was not
+    cross-validated (vote, stack) has no accuracy of its own.
+    """
+    parts = [
+        validate.summarize_folds(validate.fold_accuracy(df.withColumn("model", F.lit(name)), ["model"]), ["model"])
+        for name, df in held_out.items()
+    ]
+    results = validate.union_all(parts).select("model", "accuracy", "ci")
+    other = evaluate.accuracy_by_model(holdout, list(models), TARGET).withColumnRenamed("accuracy", "holdout")
+    return evaluate.compare_models(results, other)
+
+
 def age_to(year: int):
     """What-if change: every well as old as it will be in ``year``."""
     return {"years_op": F.col("years_op") + (F.lit(year) - F.col("year_recorded"))}

@@ -39,6 +39,9 @@ def test_replace_first(spark):
     got = column(spark, ["rf_rf_a", "a_rf_b", "none", "x\nrf_y"], "string", fn.replace_first("x", "rf_", ""))
     assert got == ["rf_a", "a_b", "none", "x\ny"]
     assert column(spark, ["abc"], "string", fn.replace_first("x", "b", "$1")) == ["a$1c"]
+    # back-references count from the pattern's own first group, and its dot stops at a line end
+    assert column(spark, ["xaab", "aaaa", None], "string", fn.replace_first("x", r"(a)\1", "_")) == ["x_b", "_aa", None]
+    assert column(spark, ["a\nbc"], "string", fn.replace_first("x", "b.|a.", "_")) == ["a\n_"]
 
 
 def test_round_half_even(spark):

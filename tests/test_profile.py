@@ -79,6 +79,11 @@ def test_group_median_imputation_counts_missing(spark):
     df = spark.createDataFrame(rows, "r string, p int")
     got = impute.impute_group_median(df, "r", "p", output="q").orderBy("r", "p").collect()
     assert [r.q for r in got] == [0.0, 0.0, 50.0, 40.0, 40.0, 60.0]
+    audited = {tuple(r) for r in impute.audit_group_median(df, "r", "p").collect()}
+    assert audited == {tuple(r) for r in profile.imputation_audit(impute.impute_group_median(df, "r", "p", output="q"), "r", "p", "q").collect()}
+    other = spark.createDataFrame([("r1", 7), ("r2", 9)], "r string, p int")
+    learned = impute.impute_group_median(df, "r", "p", output="q", medians=impute.group_medians(other, "r", "p"))
+    assert {(r.r, r.q) for r in learned.where("p < 2").collect()} == {("r1", 7.0), ("r2", 9.0)}
     moved = profile.imputation_audit(impute.impute_group_median(df, "r", "p", output="q"), "r", "p", "q").collect()
     assert moved == []
 

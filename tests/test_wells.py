@@ -127,3 +127,20 @@ def test_models_and_submissions(spark, cleaned, tmp_path):
     assert fitted.filter("stack = status_group").count() > 200
     changes = transitions(wells.class_changes(models.pipelines["rf"], train), "before", "after").collect()
     assert sum(r.n for r in changes if r.before is None) == sum(r.n for r in changes if r.before is not None)
+
+
+def test_rest_of_the_study(cleaned):
+    """Elimination, tuning, substitutions, the two-class model and the comparison, on small settings."""
+    _, train, _ = cleaned
+    sizes, ranking = wells.eliminate_features(train, sizes=(4, 8), k=2, ntree=3)
+    assert {r["size"] for r in sizes.collect()} == {4, 8, 13} and set(ranking) == set(wells.BOOSTED_FEATURES)
+    tuned = {r.setting for r in wells.tune_forest(train, trees=(3, 5), mtry=(2, 3), k=2, ntree=5).collect()}
+    assert tuned == {"ntree=3,mtry=3", "ntree=5,mtry=3", "ntree=5,mtry=2"}
+    swapped = wells.substitute_features(train, k=2, ntree=3).collect()
+    assert {r.setting for r in swapped} == {"baseline", *wells.SUBSTITUTIONS} and all(r.k == 2 for r in swapped)
+    two = wells.two_class_models(train, k=2)
+    assert {r.setting: r.n for r in two.groupBy("setting").agg(F.count("*").alias("n")).collect()} == {"all": 240, "fewer": 240}
+    assert {r.obs for r in two.select("obs").distinct().collect()} == {"functional", "non functional"}
+    holdout = train.select(wells.TARGET, F.col(wells.TARGET).alias("all"), F.lit("functional").alias("vote"))
+    table = {r.model: r for r in wells.compare_accuracies({"all": two.where("setting = 'all'")}, holdout, ["all", "vote"]).collect()}
+    assert table["all"].holdout == 1.0 and table["all"].accuracy > 0.5 and table["vote"].accuracy is None
