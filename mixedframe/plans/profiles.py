@@ -298,9 +298,9 @@ def box_stats(t):
 )
 def kde(t):
     """Densities on 512 points, with a group whose values are all equal."""
-    events = t("events").select("event_type", "value")
-    tied = events.where("event_type = 'error'").select(F.lit("tied").alias("event_type"), F.lit(100.0).alias("value"))
-    out = distribution.density(events.union(tied), "value", "event_type")
+    tied = F.struct(F.when(F.col("event_type") == "error", "tied").alias("event_type"), F.lit(100.0).alias("value"))
+    rows = t("events").select(F.inline(F.array(F.struct("event_type", "value"), tied))).where("event_type IS NOT NULL")
+    out = distribution.density(rows, "value", "event_type")
     return out.select("event_type", "grid_no", F.round("x", 6).alias("x"), F.round("density", 4).alias("density"))
 
 
