@@ -116,8 +116,10 @@ def _usual_projection(points: np.ndarray, directions: np.ndarray, rng: np.random
     if len(points) < 8 or not directions.shape[1]:
         return 1 / np.sqrt(d)
     some = points[rng.choice(len(points), min(take, len(points)), replace=False)]
-    near = np.argsort(((some[:, None, :] - points[None, :2000, :]) ** 2).sum(axis=2), axis=1)[:, 1:6]
-    gaps = (some[:, None, :] - points[:2000][near]).reshape(-1, d)
+    others = points[:2000]
+    apart = (some**2).sum(axis=1)[:, None] + (others**2).sum(axis=1) - 2 * some @ others.T
+    near = np.argsort(apart, axis=1)[:, 1:6]
+    gaps = (some[:, None, :] - others[near]).reshape(-1, d)
     size = np.linalg.norm(gaps, axis=1)
     gaps = gaps[size > 1e-12] / size[size > 1e-12, None]
     ways = directions.reshape(-1, d)[:256]
