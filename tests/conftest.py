@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from mixedframe.session import local_session  # noqa: E402
+from mixedframe.session import drop_staged, local_session  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,6 +15,7 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     session = local_session()
     yield session
+    drop_staged(session)
     session.stop()
 
 
