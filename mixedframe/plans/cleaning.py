@@ -21,7 +21,7 @@ from ..models.features import Standardizer, levels_of, one_hot
 from ..operators.cleaning import ServiceYears, TopKLumper, align_levels, regex_value_counts
 from ..models.evaluate import regression_metrics
 from ..operators.impute import audit_group_median, impute_group_median, knn_impute, knn_impute_cv
-from ..operators.profile import imputation_audit, null_profile, value_counts
+from ..operators.profile import null_profile, value_counts
 from .registry import query
 
 
