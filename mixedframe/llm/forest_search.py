@@ -10,7 +10,9 @@ largest margin by which the query lies on the other side of a split. It works in
 the first opens each tree's home leaf and gives the distance r of the k-th best so far; the
 second goes on while the key is at most ``reach`` times the usual projection of a vector of
 length r. A query in a dense spot stops early, one whose neighbours are hardly nearer than
-anything else opens much. Candidates are scored exactly, in double precision, inside the leaf
+anything else opens much. ``reach`` is set from the table at hand: a bounded sample of the
+queries is compared with every row, the key at which each true neighbour's leaf would open is
+read off the trees, and the reach is raised until the sample finds ``recall`` of them. Candidates are scored exactly, in double precision, inside the leaf
 block, and leave it only if they reach the k-th best of the first round.
 
 Defined cases: null or all-zero vectors, such with null or non-finite components and rows with
@@ -38,7 +40,9 @@ SAMPLE = 20_000
 LEAF_ROWS = 2048
 #: sample points a leaf must have, which bounds the depth: 2**10 leaves for SAMPLE points
 LEAF_SAMPLE = 16
-REACH = 0.45
+#: least reach, and the share of true neighbours for which it is raised as far as it takes
+REACH, RECALL = 0.45, 0.95
+RECALL_QUERIES = 256
 QUERY_BLOCK, ROW_BLOCK = 8192, 16_384
 AT_ONCE = 1 << 20
 
@@ -90,6 +94,16 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
+    def keys(self, query: np.ndarray) -> np.ndarray:
+        """Key at which ``query`` opens each leaf of each tree."""
+        margins = self.directions @ np.append(query, 0.0) - self.thresholds
+        out = np.zeros((len(margins), 1))
+        for level in range(self.depth):
+            m = margins[:, (1 << level) - 1 : (2 << level) - 1]
+            sides = np.maximum(out, np.maximum(m, 0)), np.maximum(out, np.maximum(-m, 0))
+            out = np.stack(sides, axis=2).reshape(len(margins), -1)
+        return out
+
     def opened(self, query: np.ndarray, limit: float) -> Iterator[tuple[int, int, float]]:
         """(tree, leaf, key) in the order of the shared priority queue, while the key is at most ``limit``."""
         margins = self.directions @ np.append(query, 0.0) - self.thresholds
@@ -193,10 +207,61 @@ def _probes(queries: DataFrame, forest, home: bool) -> DataFrame:
     return queries.mapInArrow(probe, f"tree int, leaf int, query_id long, q {kind}, floor double")
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, reach: float = REACH) -> DataFrame:
+def least_reach(ratios: list[np.ndarray], reach: float, recall: float) -> float:
+    """The least value from ``reach`` on that finds ``recall`` of the true neighbours, two standard errors to spare.
+
+    ``ratios`` has, for each sampled query, the reach at which each of its true neighbours is found.
+    """
+    for at in np.append(reach, np.unique(np.concatenate(ratios))):
+        if at >= reach:
+            found = np.array([np.mean(r <= at) for r in ratios])
+            if found.mean() - 2 * found.std() / np.sqrt(len(found)) >= recall:
+                break
+    return float(max(at, reach))
+
+
+def _fitted_reach(asked: DataFrame, indexed: DataFrame, forest, k: int, reach: float, recall: float) -> float:
+    """``reach``, raised until a sample of the queries finds ``recall`` of its true neighbours among all rows."""
+    fitted = forest.value
+    drawn = asked.orderBy(F.xxhash64(F.lit("recall"), "query_id"), "query_id").limit(RECALL_QUERIES).collect()
+    if not fitted.depth or not drawn:
+        return reach
+    sampled, queries = np.array([r.query_id for r in drawn], np.int64), np.array([r.v for r in drawn], float)
+    floors, far = np.array([r.floor for r in drawn]), np.array([r.far for r in drawn])
+    held = asked.sparkSession.sparkContext.broadcast((sampled, queries, floors))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, (query_ids, vectors, least) = forest.value, held.value
+        keys = np.stack([own.keys(v) for v in vectors])
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, rows = batch.column("vec_id").to_numpy(), matrix(batch.column("v"))
+            q, r, score = search_block(ids, rows, query_ids, vectors, least, k)
+            used, place = np.unique(r, return_inverse=True)
+            leaves = own.leaves(rows[used])[place]
+            need = keys[q[:, None], np.arange(leaves.shape[1]), leaves].min(axis=1, initial=np.inf)
+            best = [np.concatenate(x) for x in zip(best, (q, ids[r], score, need))]
+            order = np.lexsort((best[1], -best[2], best[0]))
+            best = [x[order] for x in best]
+            use = np.arange(len(order)) - np.searchsorted(best[0], best[0]) < k
+            best = [x[use] for x in best]
+        columns = [pa.array(query_ids[best[0]]), *map(pa.array, best[1:])]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "need"])
+
+    found = indexed.select("vec_id", "v").mapInArrow(compare, "query_id long, vec_id long, score double, need double")
+    needs = best_of(found, k, "need").toPandas().groupby("query_id")["need"]
+    usual = dict(zip(sampled, fitted.spread * np.maximum(far, 1e-9 * fitted.longest)))
+    # the last digits of a limit must not decide whether a leaf is opened
+    return least_reach([x.to_numpy() / usual[q] * (1 + 1e-9) for q, x in needs] or [np.zeros(1)], reach, recall)
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, reach: float = REACH, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows found for each query.
 
-    ``rows`` has vec_id and embedding; ``is_query`` is a condition on vec_id.
+    ``rows`` has vec_id and embedding; ``is_query`` is a condition on vec_id. ``reach`` is raised
+    where the table needs it for ``recall``.
     """
     vector = F.col("embedding")
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"))
@@ -232,8 +297,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREES,
     first = opened(queries.withColumn("floor", F.lit(float("-inf"))), True)
     # the k-th best so far bounds what can still matter; a query with fewer opens everything
     kth = best_of(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    reached = F.sqrt(F.greatest(square + float(longest) ** 2 - 2 * F.col("floor"), F.lit(0.0))) * float(reach * fitted.spread)
-    asked = queries.join(kth, "query_id", "left").withColumn("limit", F.coalesce(reached, F.lit(float("inf"))))
-    asked = asked.withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    second = opened(asked, False)
+    far = F.sqrt(F.greatest(square + float(longest) ** 2 - 2 * F.col("floor"), F.lit(0.0)))
+    asked = queries.join(kth, "query_id", "left").withColumn("far", F.coalesce(far, F.lit(float("inf"))))
+    asked = stage(asked.withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "asked")
+    reach = _fitted_reach(asked, indexed, forest, k, reach, recall)
+    limit = F.when(F.col("far") < float("inf"), F.col("far") * float(reach * fitted.spread)).otherwise(float("inf"))
+    second = opened(asked.withColumn("limit", limit), False)
     return best_of(first.union(second).distinct(), k)

@@ -81,7 +81,7 @@ def against_blocks(
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, schema)
 
 
-def best_of(found: DataFrame, k: int) -> DataFrame:
-    """The k highest scores of each query, ties to smaller vec_id: query_id, rank, vec_id, score."""
+def best_of(found: DataFrame, k: int, *more: str) -> DataFrame:
+    """The k highest scores of each query, ties to smaller vec_id: query_id, rank, vec_id, score and ``more``."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *more)

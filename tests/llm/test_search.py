@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mixedframe.llm import forest_search
 from mixedframe.llm.forest_search import Forest, nearest
 from mixedframe.llm.topk_search import search_block, top_k
 
@@ -100,6 +101,31 @@ def test_nearest_finds_most_true_neighbours_beyond_one_leaf(spark):
     assert len(hits) == 50 and np.mean(hits) >= 0.9
 
 
+def test_nearest_keeps_its_recall_in_deep_trees_of_even_vectors(spark, monkeypatch):
+    monkeypatch.setattr(forest_search, "LEAF_ROWS", 12)
+    monkeypatch.setattr(forest_search, "LEAF_SAMPLE", 6)
+    rng = np.random.default_rng(11)
+    points = rng.normal(0, 1, (6000, 24))
+    points = (points / np.linalg.norm(points, axis=1)[:, None]).astype(np.float32)
+    assert Forest.fit(points.astype(float), 6000, 1.0, trees=1).depth == 9
+    got = nearest(table(spark, [(i, p.tolist()) for i, p in enumerate(points)]), F.col("vec_id") % 100 == 0, 20).toPandas()
+    exact = points.astype(float)
+    hits = []
+    for q, found in got.groupby("query_id")["vec_id"]:
+        scores = exact @ exact[q]
+        scores[q] = -np.inf
+        hits.append(len(set(np.argsort(-scores)[:20]) & set(found)) / 20)
+    assert len(hits) == 60 and np.mean(hits) >= 0.95
+
+
+def test_keys_of_leaves_are_those_at_which_they_open():
+    points = np.random.default_rng(4).normal(0, 1, (1000, 5))
+    forest = Forest.fit(points, 20_000, float(np.linalg.norm(points, axis=1).max()), trees=3)
+    keys = forest.keys(points[3])
+    assert keys.shape == (3, 1 << forest.depth)
+    assert all(keys[t, leaf] == key for t, leaf, key in forest.opened(points[3], np.inf))
+
+
 def test_shared_queue_opens_leaves_in_order_of_their_margin():
     rng = np.random.default_rng(2)
     points = rng.normal(0, 1, (2000, 6))
