@@ -4,9 +4,11 @@ Fixed patterns find assignments, access keys and long hexadecimal strings. Beyon
 candidate strings without blanks are scanned with a sliding window: the Shannon entropy of
 each window follows from the sum of c * log2(c) over its character counts, which a step
 changes by the one count that falls and the one that grows. The threshold depends on the
-character class (hexadecimal, or letters of both cases mixed with digits). Placeholders,
-UUIDs and parts of addresses are on the allow-list and suppress such a candidate; spans of
-the fixed patterns are never suppressed.
+character class (hexadecimal, letters of both cases with digits, of one case with digits,
+letters alone). Placeholders, UUIDs and parts of addresses are on the allow-list and suppress
+such a candidate; an address ends at white space, a quote, a comma, a semicolon or a bracket.
+Spans of the fixed patterns are never suppressed. Random letters of one case are no more
+uneven than long words and are found only where their entropy is above that of most words.
 
 Defined cases: a null text is empty; columns of the input pass through, one with the name
 of the output is replaced.
@@ -30,12 +32,13 @@ KINDS = (*PATTERNS, "entropy")
 ASSIGNED = 8
 
 WINDOW = 20
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 #: bits per character of the best window that make a candidate a secret
-HEX_BITS, MIXED_BITS = 3.0, 3.7
+HEX_BITS, MIXED_BITS, ONE_CASE_BITS, LETTER_BITS = 3.0, 3.7, 3.6, 3.8
 ALLOWED_WORDS = ("example", "sample", "placeholder", "dummy", "changeme", "redacted", "xxxxxx", "000000", "abcdef", "123456")
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 BEFORE = 200
+APART = r"""[\s"'`,;<>()\[\]{}]"""
 
 
 def _weight(count: Column) -> Column:
@@ -70,13 +73,14 @@ def _secret_like(text: Column, span: Column) -> Column:
     value = span.value
     lowered = F.lower(value)
     is_hex = F.rlike(value, F.lit(r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$"))
-    is_mixed = F.rlike(value, F.lit(r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"))
-    before = F.substring_index(F.substring(text, F.greatest(span.start - BEFORE, F.lit(0)) + 1, F.least(span.start, F.lit(BEFORE))), " ", -1)
+    has_lower, has_upper, has_digit = (F.rlike(value, F.lit(c)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
+    before = F.substring(text, F.greatest(span.start - BEFORE, F.lit(0)) + 1, F.least(span.start, F.lit(BEFORE)))
+    before = F.element_at(F.split(before, APART, -1), -1)
     allowed = F.rlike(value, F.lit(UUID)) | F.rlike(before, F.lit(r"://|@"))
     for word in ALLOWED_WORDS:
         allowed = allowed | F.contains(lowered, F.lit(word))
-    bits = F.when(is_hex, HEX_BITS).otherwise(MIXED_BITS)
-    return (is_hex | is_mixed) & ~allowed & let(value, lambda v: best_window_entropy(v) >= bits)
+    bits = F.when(is_hex, HEX_BITS).when(~has_digit, LETTER_BITS).when(has_lower & has_upper, MIXED_BITS).otherwise(ONE_CASE_BITS)
+    return (has_lower | has_upper) & ~allowed & let(value, lambda v: best_window_entropy(v) >= bits)
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
