@@ -15,10 +15,13 @@ queries is compared with every row, the key at which each true neighbour's leaf
 read off the trees, and the reach is raised until the sample finds ``recall`` of them. Candidates are scored exactly, in double precision, inside the leaf
 block, and leave it only if they reach the k-th best of the first round.
 
+Vectors are compared with vectors of their own length: each length that fills more than one
+leaf has a forest of its own, the vectors of all rarer lengths are compared with each other in
+blocks.
+
 Defined cases: null or all-zero vectors, such with null or non-finite components and rows with
-a null vec_id take no part; of rows that share a vec_id the greatest vector counts; vectors
-whose length is not the most frequent one are not comparable with the others and take no
-part; a query with fewer than k candidates gets all of them.
+a null vec_id take no part; of rows that share a vec_id the greatest vector counts; a query
+with fewer than k candidates of its length gets all of them.
 """
 
 from __future__ import annotations
@@ -266,31 +269,45 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREES,
     vector = F.col("embedding")
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"))
     vectors = vectors.where(usable(F.col("v")) & F.exists("v", lambda x: x != 0))
-    vectors = stage(one_per_id(vectors), "vectors")
-    out = "query_id long, vec_id long, score double"
-    usual = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if usual is None:
-        return best_of(rows.sparkSession.createDataFrame([], out), k)
-    vectors = vectors.where(F.size("v") == usual.d)
+    vectors = stage(one_per_id(vectors).withColumn("dim", F.size("v")), "vectors")
+    lengths = vectors.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS).orderBy("dim").collect()
+    rare = vectors.where(~F.col("dim").isin([r.dim for r in lengths]))
+    asked = rare.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("dim").alias("dim"), F.col("v").alias("q"), F.lit(float("-inf")).alias("floor"))
+    search = lambda left, right: _search(left, right, k)
+    found = against_blocks(asked, fewest_copies(rare, k + 1), ["dim"], search, FOUND, QUERY_BLOCK, ROW_BLOCK)
+    for r in lengths:
+        own = vectors.where(F.col("dim") == r.dim).drop("dim")
+        found = found.union(_through_forest(own, is_query, k, r.dim, trees, reach, recall))
+    return best_of(found, k)
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    q, r, s = (np.zeros(0, np.int64),) * 3
+    if left.num_rows and right.num_rows:
+        ids, query_ids = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
+        q, r, s = search_block(ids, matrix(right["v"]), query_ids, matrix(left["q"]), left["floor"].to_numpy(), k)
+    return pa.table({"query_id": left["query_id"].take(pa.array(q)), "vec_id": right["vec_id"].take(pa.array(r)), "score": pa.array(s, pa.float64())})
+
+
+def _through_forest(vectors: DataFrame, is_query: Column, k: int, dim: int, trees: int, reach: float, recall: float) -> DataFrame:
+    """query_id, vec_id, score found among vectors of one length, the k best of each query among them."""
+    spark = vectors.sparkSession
     indexed = stage(fewest_copies(vectors, k + 1), "indexed")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, longest = indexed.agg(F.count("*"), F.sqrt(F.max(square))).first()
     share = min(1.0, SAMPLE / n)
     drawn = indexed.where(F.pmod(F.xxhash64(F.lit("sample"), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("vec_id").select("v").limit(2 * SAMPLE)
-    sample = np.array([r.v for r in drawn.collect()], float).reshape(-1, usual.d)
+    sample = np.array([r.v for r in drawn.collect()], float).reshape(-1, dim)
     fitted = Forest.fit(sample, n, longest, trees)
-    forest = rows.sparkSession.sparkContext.broadcast(fitted)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, r, s = (np.zeros(0, np.int64),) * 3
-        if left.num_rows and right.num_rows:
-            ids, query_ids = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
-            q, r, s = search_block(ids, matrix(right["v"]), query_ids, matrix(left["q"]), left["floor"].to_numpy(), k)
-        return pa.table({"query_id": left["query_id"].take(pa.array(q)), "vec_id": right["vec_id"].take(pa.array(r)), "score": pa.array(s, pa.float64())})
+    forest = spark.sparkContext.broadcast(fitted)
+    search = lambda left, right: _search(left, right, k)
 
     def opened(asked: DataFrame, home: bool) -> DataFrame:
         probes = stage(_probes(asked, forest, home), "probes")
-        return stage(against_blocks(probes, dealt, ["tree", "leaf"], search, out, QUERY_BLOCK, ROW_BLOCK).distinct(), "found")
+        return stage(against_blocks(probes, dealt, ["tree", "leaf"], search, FOUND, QUERY_BLOCK, ROW_BLOCK).distinct(), "found")
 
     dealt = stage(_dealt(indexed, forest), "dealt")
     queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
@@ -303,4 +320,4 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREES,
     reach = _fitted_reach(asked, indexed, forest, k, reach, recall)
     limit = F.when(F.col("far") < float("inf"), F.col("far") * float(reach * fitted.spread)).otherwise(float("inf"))
     second = opened(asked.withColumn("limit", limit), False)
-    return best_of(first.union(second).distinct(), k)
+    return first.union(second).distinct()

@@ -49,6 +49,22 @@ def test_top_k_is_exact_with_copies_and_broken_vectors(spark):
     assert got == brute(good + other, lambda i: i % 50 == 0, 5, integer_product)
 
 
+def test_top_k_keeps_large_components(spark):
+    """Scores that leave 53 bits, 64 bits, and a long altogether; ties between wide vectors."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(0, 0.2, 4).tolist()) for i in range(120)]
+    rows += [(200 + i, (rng.normal(0, 1, 4) * 10.0 ** int(e)).tolist()) for i, e in enumerate(rng.integers(3, 14, 80))]
+    rows += [(300, [70000.0, 1.0, 0.0, 0.0]), (350, [-1e300, 1e300, 1.0, 2.0]), (351, [1e300, 1e-3, 5.0, 0.5]), (352, [1e300, 1e-3, 5.0, 0.5]), (353, [1e308, 0.0, 0.0, 0.0])]
+    rows += [(400, [70000.0, 1.0]), (401, [0.5, 2.0]), (402, [-3e9, 0.25])]
+    usable = [r for r in rows if max(abs(x) for x in r[1]) * 256 < float("inf")]
+    whole = lambda v: [int(np.floor(256 * x)) for x in v]
+    exact = brute(usable, lambda i: i % 50 == 0, 5, lambda x, y: sum(a * b for a, b in zip(whole(x), whole(y))))
+    shown = [(q, n, i, max(-(2**63), min(2**63 - 1, s))) for q, n, i, s in exact]
+    got = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert rows_of(top_k(got, F.col("vec_id") % 50 == 0, 5)) == shown
+    assert (300, 1) in {r[:2] for r in shown} and len({r[0] for r in shown}) == 8
+
+
 def test_top_k_of_few_rows_and_of_none(spark):
     two = [(0, [0.5, 0.5]), (50, [0.5, -0.5])]
     assert rows_of(top_k(table(spark, two), F.col("vec_id") % 50 == 0, 5)) == brute(two, lambda i: True, 5, integer_product)
@@ -82,6 +98,21 @@ def test_nearest_reads_everything_when_the_table_is_small(spark):
     np.testing.assert_allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
 
 
+def test_nearest_serves_every_length(spark, monkeypatch):
+    """A length with a forest of its own, another one, and two rare ones."""
+    monkeypatch.setattr(forest_search, "LEAF_ROWS", 100)
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(0, 1, 8).tolist()) for i in range(300)] + [(i, rng.normal(0, 1, 5).tolist()) for i in range(300, 500)]
+    rows += [(i, rng.normal(0, 1, 3).tolist()) for i in range(500, 530)] + [(540, [1.0]), (541, [2.0]), (560, [1.0] * 7)]
+    got = rows_of(nearest(table(spark, rows), F.col("vec_id") % 20 == 0, 20))
+    near = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
+    want = brute(near, lambda i: i % 20 == 0, 20, lambda x, y: float((np.array(y) * np.array(x)).sum()))
+    assert len(got) == len(want) and {g[0] for g in got} == {w[0] for w in want} and 540 in {g[0] for g in got}
+    assert [g[:3] for g in got if g[0] >= 500] == [w[:3] for w in want if w[0] >= 500]
+    found = {g[:1] + g[2:3] for g in got}
+    assert np.mean([w[:1] + w[2:3] in found for w in want]) >= 0.9
+
+
 def test_nearest_of_an_empty_table(spark):
     assert rows_of(nearest(table(spark, []), F.col("vec_id") % 20 == 0)) == []
 
