@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import let, listed, regex_spans
+from .spans import cut_out, free_of, let, listed, pieces_of, regex_spans
 
 # Countries with account numbers of each length: the registry, and those that use them without being in it.
 IBAN_LENGTHS = {
@@ -104,16 +104,19 @@ def _scored(text: Column, kind: str) -> Column:
     """Confirmed spans of a kind with their score."""
 
     def score(body: Column, s: Column) -> Column:
-        first = F.greatest(s.start - NEAR, F.lit(0))
-        around = F.concat_ws(" ", F.substring(body, first + 1, s.start - first), F.substring(body, s.end + 1, F.lit(NEAR)))
+        around = F.concat_ws(" ", cut_out(body, F.greatest(s.start - NEAR, F.lit(0)), s.start), cut_out(body, s.end, s.end + NEAR))
         return F.lit(SCORES[kind]) + F.when(F.rlike(around, F.lit(CONTEXT[kind])), BONUS).otherwise(0.0)
 
     def mark(x: Column) -> Column:
-        named = lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end"), s.value.alias("value"), F.least(score(x.text, s), F.lit(1.0)).alias("score"))
+        named = lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end"), s.value.alias("value"), F.least(score(x.pieces, s), F.lit(1.0)).alias("score"))
         return F.transform(F.filter(x.spans, lambda s: _valid(kind, s.value)), named)
 
     spans = regex_spans(text, PATTERNS[kind], _possible(kind, text))
-    return F.filter(let(F.struct(text.alias("text"), spans.alias("spans")), mark), lambda s: s.score >= ACCEPT)
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
+    # the text is cut into pieces only where something was found
+    inputs = lambda s: F.struct(pieces_of(text).alias("pieces"), s.alias("spans"))
+    marked = let(spans, lambda s: F.when(F.size(s) > 0, let(inputs(s), mark)).otherwise(none))
+    return F.filter(marked, lambda s: s.score >= ACCEPT)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -125,10 +128,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     text = F.col("__text")
     rows = rows.withColumn("__base", F.concat(*[_scored(text, kind) for kind in BASE]))
     rows = rows.withColumn("__more", F.concat(*[_scored(text, kind) for kind in KINDS if kind not in BASE]))
-    both = F.struct(F.col("__base").alias("base"), F.col("__more").alias("more"))
-    apart = lambda x: F.filter(x.more, lambda s: ~F.exists(x.base, lambda b: (b.start < s.end) & (s.start < b.end)))
-    added = F.when(F.size("__more") > 0, let(both, apart)).otherwise(F.col("__more"))
-    return rows.withColumn("personal", F.concat("__base", added)).drop("__text", "__base", "__more")
+    return rows.withColumn("personal", F.concat("__base", free_of(F.col("__more"), F.col("__base")))).drop("__text", "__base", "__more")
 
 
 def personal_report(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Fixed patterns find assignments, access keys and long hexadecimal strings. Beyond them,
 candidate strings without blanks are scanned with a sliding window: the Shannon entropy of
-each window follows from the sum of c * log2(c) over its character counts, which a step
-changes by the one count that falls and the one that grows. The threshold depends on the
+each window follows from the sum of c * log2(c) over its character counts, which are kept
+while the window moves: a step takes one from the count of the character that leaves and adds
+one to that of the character that enters. A candidate is read in chunks of characters, so its
+scan takes time in proportion to its length. The threshold depends on the
 character class (hexadecimal, letters of both cases with digits, of one case with digits,
 letters alone). Placeholders, UUIDs and parts of addresses are on the allow-list and suppress
 such a candidate; an address ends at white space, a quote, a comma, a semicolon or a bracket.
@@ -16,10 +18,12 @@ of the output is replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import let, listed, regex_spans
+from .spans import cut_out, free_of, let, listed, pieces_of, regex_spans, running_max
 
 # What counts as a secret, in the order in which kinds are listed. Runs are
 # matched possessively and from their first character, so a search takes linear time.
@@ -41,40 +45,52 @@ BEFORE = 200
 APART = r"""[\s"'`,;<>()\[\]{}]"""
 
 
-def _weight(count: Column) -> Column:
-    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+# c * log2(c) for every count a window can have
+_WEIGHTS = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+CHUNK = 512
 
 
 def best_window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy (bits per character) of any ``window`` characters in a row of ``value``."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    count = lambda part, c: (F.char_length(part) - F.char_length(F.replace(part, c, F.lit("")))).cast("double")
-
-    def first_sum(part: Column) -> Column:
-        distinct = F.array_distinct(F.filter(F.split(part, ""), lambda c: c != ""))
-        return F.aggregate(distinct, F.lit(0.0), lambda total, c: total + _weight(count(part, c)))
-
-    def slide(state: Column, at: Column) -> Column:
-        # the window held begins at ``at`` - 1; its first character leaves, the one after it enters
-        held = F.substring(value, at - 1, F.lit(window))
-        leaves, enters = F.substring(value, at - 1, F.lit(1)), F.substring(value, at + window - 1, F.lit(1))
-        falls = count(held, leaves)
-        grows = count(held, enters) - F.when(leaves == enters, 1.0).otherwise(0.0)
-        now = state.total - _weight(falls) + _weight(falls - 1) - _weight(grows) + _weight(grows + 1)
-        return F.struct(now.alias("total"), F.least(state.least, now).alias("least"))
-
-    start = let(first_sum(F.substring(value, 1, window)), lambda t: F.struct(t.alias("total"), t.alias("least")))
-    steps = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(chars) - window + 1)), lambda i: i <= F.size(chars) - window + 1)
-    lowest = F.aggregate(steps, start, slide, lambda s: s.least)
-    return F.lit(F.log2(F.lit(float(window)))) - lowest / float(window)
-
-
-def _secret_like(text: Column, span: Column) -> Column:
+    """Highest Shannon entropy (bits per character) of any ``window`` characters in a row of ``value``, an ASCII text.
+
+    The counts of a window are a text with one character for each of 128 codes, whose own code
+    is the count; the state is that text and the sum of c * log2(c).
+    """
+    weights = F.array(*[F.lit(w) for w in _WEIGHTS])
+    none = F.struct(F.lit("\0" * 128).alias("counts"), F.lit(0.0).alias("total"))
+    count = lambda counts, code: F.ascii(F.substring(counts, code + 1, F.lit(1)))
+    put = lambda counts, code, n: F.overlay(counts, F.chr(n), code + 1, F.lit(1))
+
+    def moved(state: Column, code: Column, by: int) -> Column:
+        change = lambda n: F.struct(put(state.counts, code, n + by).alias("counts"), (state.total - weights[n] + weights[n + by]).alias("total"))
+        return let(count(state.counts, code), change)
+
+    def slide(state: Column, step: Column) -> Column:
+        after = let(moved(state, step.leaves, -1), lambda held: moved(held, step.enters, 1))
+        return let(after, lambda a: F.struct(a.counts.alias("counts"), a.total.alias("total"), F.least(state.least, a.total).alias("least")))
+
+    def least_of(codes: Column, start: Column) -> Column:
+        """Least sum over the windows that begin at ``start`` and up to ``CHUNK`` places later."""
+        first = F.aggregate(F.slice(codes, start + 1, window), none, lambda s, c: moved(s, c, 1))
+        begun = let(first, lambda f: F.struct(f.counts.alias("counts"), f.total.alias("total"), f.total.alias("least")))
+        room = F.least(F.lit(CHUNK), F.size(codes) - window - start)
+        steps = F.zip_with(F.slice(codes, start + 1, room), F.slice(codes, start + window + 1, room), lambda a, b: F.struct(a.alias("leaves"), b.alias("enters")))
+        return F.aggregate(steps, begun, slide, lambda s: s.least)
+
+    def scan(codes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(codes) - window, F.lit(0)), F.lit(CHUNK))
+        return F.array_min(F.transform(starts, lambda o: least_of(codes, o)))
+
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), F.ascii)
+    return F.lit(math.log2(window)) - let(codes, scan) / float(window)
+
+
+def _secret_like(pieces: Column, span: Column) -> Column:
     value = span.value
     lowered = F.lower(value)
     is_hex = F.rlike(value, F.lit(r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$"))
     has_lower, has_upper, has_digit = (F.rlike(value, F.lit(c)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
-    before = F.substring(text, F.greatest(span.start - BEFORE, F.lit(0)) + 1, F.least(span.start, F.lit(BEFORE)))
+    before = cut_out(pieces, F.greatest(span.start - BEFORE, F.lit(0)), span.start)
     before = F.element_at(F.split(before, APART, -1), -1)
     allowed = F.rlike(value, F.lit(UUID)) | F.rlike(before, F.lit(r"://|@"))
     for word in ALLOWED_WORDS:
@@ -107,9 +123,8 @@ def scan_secrets(docs: DataFrame, output: str = "secrets") -> DataFrame:
         ),
     )
     rows = rows.withColumn("__found", regex_spans(text, CANDIDATE))
-    free = lambda base, s: ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end))
-    inputs = F.struct(text.alias("text"), F.col("__base").alias("base"), F.col("__found").alias("found"))
-    more = let(inputs, lambda x: F.filter(x.found, lambda s: free(x.base, s) & _secret_like(x.text, s)))
+    inputs = F.struct(pieces_of(text).alias("pieces"), free_of(F.col("__found"), F.col("__base")).alias("found"))
+    more = let(inputs, lambda x: F.filter(x.found, lambda s: _secret_like(x.pieces, s)))
     more = F.when(F.size("__found") > 0, _of_kind(more, "entropy")).otherwise(F.slice("__base", 1, 0))
     return rows.withColumn(output, F.array_sort(F.concat("__base", more))).drop("__text", "__base", "__found")
 
@@ -132,17 +147,12 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     found = scan_secrets(docs, "__secrets")
 
     def cut(x: Column) -> Column:
-        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-        def step(s: Column, span: Column) -> Column:
-            piece = F.array(F.substring(x.text, s.at + 1, span.start - s.at), F.lit(mark))
-            fresh = F.struct(span.end.alias("at"), F.concat(s.out, piece).alias("out"))
-            return F.when(span.start >= s.at, fresh).otherwise(F.struct(F.greatest(s.at, span.end).alias("at"), s.out.alias("out")))
-
-        done = F.aggregate(x["__secrets"], state, step)
-        return let(done, lambda d: F.concat(F.array_join(d.out, ""), F.substring(x.text, d.at + 1, F.char_length(x.text))))
+        before = running_max(F.transform(x.spans, lambda s: s.end), 0)
+        parts = F.zip_with(x.spans, before, lambda s, at: F.when(s.start >= at, F.concat(cut_out(x.pieces, at, s.start), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), cut_out(x.pieces, F.array_max(F.transform(x.spans, lambda s: s.end)), x.n))
 
-    text = F.when(F.size("__secrets") > 0, let(F.struct("text", "__secrets"), cut)).otherwise(F.col("text"))
+    inputs = F.struct(F.col("__secrets").alias("spans"), pieces_of(F.col("text")).alias("pieces"), F.char_length("text").alias("n"))
+    text = F.when(F.size("__secrets") > 0, let(inputs, cut)).otherwise(F.col("text"))
     changed = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
