@@ -209,8 +209,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Dat
     """
     drawn = stage(sketches(docs, shingle), "sketches")
     named = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     marks = ["n_shingles", "f1", "f2"]
+    # one row for an id, before classes are made: what links any of its classes must link the id
+    ids = stage(named.groupBy("doc_id").agg(F.max(F.struct(*marks)).alias("m")).select("doc_id", *[F.col(f"m.{c}").alias(c) for c in marks]), "ids")
+    classes = ids.groupBy(*marks).agg(F.min("doc_id").alias("rep"))
     reps = stage(
         named.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *marks], "left_semi")
         .groupBy("doc_id")
@@ -233,14 +235,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Dat
         links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").union(more)
         labels = components(links)
     placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*marks, F.coalesce("label", "rep").alias("component"))
-    placed = stage(placed, "placed")
-    return (
-        drawn.drop("sig")
-        .join(placed, marks, "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    placed = ids.join(stage(placed, "placed"), marks).select("doc_id", "component")
+    rows = drawn.select("doc_id", "n_shingles")
+    known = rows.where("doc_id IS NOT NULL").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
+    unnamed = rows.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long"))
+    return known.union(unnamed).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
