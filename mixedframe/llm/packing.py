@@ -6,19 +6,24 @@ as the token budget holds are then formed inside each bucket.
 
 Lengths below ``EXACT`` keep a histogram cell of their own, longer ones share cells of a
 2048th of their size, so the histogram that reaches the driver has at most some hundred
-thousand cells however long the texts are. A bucket may hold most documents: its rows are
-dealt to slices by hash, slices get their first rank from running counts, and only a slice
-is numbered in one task.
+thousand cells however long the texts are. A cell that counts at its least length makes every
+plan look no dearer than it is; the cells that the best plan ends a bucket in are then counted
+length by length and the plan is made again, until all its bounds are single lengths, which
+makes it the best of all. A bucket may hold most documents: its rows are dealt to slices by
+hash, slices get their first rank from running counts, and only a slice is numbered in one task.
 
 Defined cases: null and blank texts have length 0 and sit in the first bucket; a document
-longer than the budget is a batch of its own; an empty table gives no rows; rows that share
-a doc_id and a length are ordered arbitrarily among themselves.
+longer than the budget is a batch of its own; an empty table gives no rows; rows with a null
+or a repeated doc_id are rows like any other, as the order in a bucket is that of a hash of
+the place a row is read from.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -103,29 +108,39 @@ class Plan:
 
 def plan_buckets(lengths: DataFrame, buckets: int, budget: int) -> Plan:
     """Optimal buckets for a table (n_tokens)."""
-    cells = lengths.groupBy(cell_top(F.col("n_tokens")).alias("top")).agg(F.count("*").alias("n")).collect()
-    cells = sorted((r.top, r.n) for r in cells)
-    bounds = optimal_bounds([t for t, _ in cells], [c for _, c in cells], buckets)
+    n = F.col("n_tokens")
+    found = lengths.groupBy(cell_top(n).alias("top")).agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.count("*").alias("n")).collect()
+    cells = sorted((r.lo, r.hi, r.n) for r in found)
+    while True:
+        bounds = optimal_bounds([lo for lo, _, _ in cells], [c for _, _, c in cells], buckets)
+        chosen = set(bounds)
+        wide = [c for c in cells if c[0] < c[1] and c[0] in chosen]
+        if not wide:
+            break
+        inside = reduce(or_, [n.between(lo, hi) for lo, hi, _ in wide])
+        single = lengths.where(inside).groupBy("n_tokens").agg(F.count("*").alias("n")).collect()
+        cells = sorted([c for c in cells if c not in wide] + [(r.n_tokens, r.n_tokens, r.n) for r in single])
     counts = [0] * len(bounds)
     at = 0
-    for top, n in cells:
+    for _, top, n_docs in cells:
         while top > bounds[at]:
             at += 1
-        counts[at] += n
+        counts[at] += n_docs
     return Plan(bounds, counts, budget)
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, bucket, padded_to, batch (within the bucket) and slot, all from 0."""
     # written once: the histogram, the slices and the ranks all read the lengths, not the texts
-    rows = stage(docs.select("doc_id", (word_count(F.col("text")) if length is None else length).alias("n_tokens")), "lengths")
+    n_tokens = word_count(F.col("text")) if length is None else length
+    rows = stage(docs.select("doc_id", n_tokens.alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "lengths")
     plan = plan_buckets(rows, buckets, budget)
     if not plan.bounds:
         none = F.lit(None).cast("long")
         return rows.select("doc_id", "n_tokens", *[none.alias(c) for c in ("bucket", "padded_to", "batch", "slot")])
     pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket").cast("int") + 1)
     bounds = F.array(*[F.lit(b).cast("long") for b in plan.bounds])
-    spread = F.xxhash64(F.lit("slice"), "doc_id")
+    spread = F.xxhash64(F.lit("slice"), "row")
     rows = rows.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("n_tokens"))).cast("long"))
     rows = rows.withColumn("slice", F.pmod(spread, pick(plan.slices)))
     before = W.partitionBy("bucket").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
@@ -134,7 +149,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
         .agg(F.count("*").alias("n"))
         .select("bucket", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     )
-    inside = W.partitionBy("bucket", "slice").orderBy(F.xxhash64(F.lit("rank"), "doc_id"), "doc_id", "n_tokens")
+    inside = W.partitionBy("bucket", "slice").orderBy(F.xxhash64(F.lit("rank"), "row"), "row")
     ranked = rows.withColumn("nth", F.row_number().over(inside) - 1).join(firsts, ["bucket", "slice"])
     rank, room = F.col("first") + F.col("nth"), pick(plan.capacity)
     return ranked.select(
