@@ -106,6 +106,30 @@ def test_batches_fill_without_gaps(spark, monkeypatch):
         assert sorted(places) == [divmod(n, room) for n in range(len(places))]
 
 
+def test_long_texts_get_bounds_that_are_lengths(spark):
+    """Six texts of 21,845 words fit three to a batch; among many long lengths the plan is the best of all."""
+    from mixedframe.llm.packing import plan_buckets
+
+    same = spark.createDataFrame([(i, 21_845) for i in range(6)], "doc_id long, n int")
+    assert {(r.padded_to, r.batch, r.slot) for r in pack(same, F.col("n").cast("long"), budget=65_536).collect()} == {(21_845, n // 3, n % 3) for n in range(6)}
+    rng = __import__("random").Random(3)
+    lengths = [int(10 ** rng.uniform(3.5, 5)) for _ in range(4000)]
+    table = spark.createDataFrame([(n,) for n in lengths], "n_tokens long")
+    counts = Counter(lengths)
+    exact = optimal_bounds(sorted(counts), [counts[n] for n in sorted(counts)], 6)
+    plan = plan_buckets(table, 6, 65_536)
+    cost = lambda bounds: padding(sorted(counts), [counts[n] for n in sorted(counts)], bounds)
+    assert cost(plan.bounds) == cost(exact) and set(plan.bounds) <= set(counts)
+    assert plan.counts == [sum(c for n, c in counts.items() if low < n <= high) for low, high in zip([-1, *plan.bounds], plan.bounds)]
+
+
+def test_rows_without_an_id_are_dealt_to_many_slices(spark, monkeypatch):
+    monkeypatch.setattr("mixedframe.llm.packing.SLICE", 50)
+    docs = spark.createDataFrame([(None, "one two")] * 1500 + [(7, "one two")] * 500, "doc_id long, text string").repartition(3)
+    got = pack(docs, budget=100).collect()
+    assert sorted((r.batch, r.slot) for r in got) == [divmod(n, 50) for n in range(2000)]
+
+
 @pytest.fixture(scope="module")
 def staged(spark, data_dir):
     docs, out = spark.read.parquet(f"{data_dir}/documents.parquet"), []

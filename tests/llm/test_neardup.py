@@ -98,3 +98,16 @@ def test_words_do_not_depend_on_where_runs_are_cut(monkeypatch, run):
             assert known.setdefault(word, value) == value
     assert len(set(known.values())) == len(known)
     assert [len(s) for s in text.shingle_sets(pa.array(texts))] == [len(shingles(t)) for t in texts]
+
+
+def test_an_id_with_two_texts_is_linked_through_the_one_that_counts(spark):
+    """Of the rows of an id the longest counts: id 5 stands for A, so B and its near copy are linked without it."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, more = " ".join(f"a{i}" for i in range(80)), " ".join(words[:40]), " ".join(words[:41])
+    rows = [(5, a), (5, b), (9, b), (12, more), (20, a), (21, None), (21, ""), (None, b), (None, a)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {
+        (5, 5, True), (9, 9, True), (12, 9, False), (20, 5, False), (21, 21, True), (None, None, True),
+    }
+    assert sorted(r.n_shingles for r in got if r.doc_id == 5) == [36, 76]

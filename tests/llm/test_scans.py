@@ -122,6 +122,89 @@ def test_redaction_keeps_every_document(docs):
         assert r.n_chars == len(r.text or "")
 
 
+def entropy_of(value, w=20):
+    import math
+    from collections import Counter
+
+    counts, total, least = Counter(value[:w]), 0.0, None
+    weight = lambda c: c * math.log2(c) if c > 1 else 0.0
+    total = least = sum(weight(c) for c in counts.values())
+    for out, into in zip(value, value[w:]):
+        total += weight(counts[out] - 1) - weight(counts[out])
+        counts[out] -= 1
+        total += weight(counts[into] + 1) - weight(counts[into])
+        counts[into] += 1
+        least = min(least, total)
+    return math.log2(w) - least / w
+
+
+@pytest.mark.parametrize("n", [20, 21, 531, 532, 533, 1044, 5000])
+def test_entropy_of_candidates_of_any_length(spark, n):
+    import random
+
+    rng = random.Random(n)
+    value = "".join(rng.choices("aab/Z9_-+", k=n - 5)) + "====="
+    got = spark.createDataFrame([(value,)], "v string").select(best_window_entropy(F.col("v"))).first()[0]
+    assert got == pytest.approx(entropy_of(value), abs=1e-9)
+
+
+def test_an_inline_image_takes_seconds(spark):
+    """A megabyte without a blank is one candidate, read in time proportional to its length."""
+    import base64
+    import random
+    import time
+
+    image = base64.b64encode(random.Random(1).randbytes(786_432)).decode()
+    docs = spark.createDataFrame([(1, f"<img src='data:image/png;base64,{image}'> end"), (2, "key Zx9Kq3LmP0vT7wYb2NcR8sDf1GhJ4 end")], "doc_id long, text string")
+    secret_report(docs.where("doc_id = 2")).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in secret_report(docs).collect()}
+    took = time.time() - began
+    at = len("<img src='data:image/png;base64,")
+    assert got[1].spans == f"entropy:{at}:{at + len(image)}" and took < 60
+    assert [r.text for r in redact_secrets(docs).orderBy("doc_id").collect()] == ["<img src='data:image/png;base64,[SECRET]'> end", "key [SECRET] end"]
+
+
+def test_thousands_of_spans_in_one_text(spark):
+    import time
+
+    random_like = "Zx9Kq3LmP0vT7wYb2NcR8sDf1GhJ4"
+    line = f"é password=abcdefgh12 AKIA{'B' * 16} {random_like}, mail ann@example.org 10.0.0.1 "
+    docs = spark.createDataFrame([(1, line * 3000)], "doc_id long, text string")
+    began = time.time()
+    got = secret_report(docs).first()
+    assert (got.n_assign, got.n_access) == (3000, 3000) and got.spans.count("entropy") == 3000
+    done = redact_secrets(docs).first().text
+    assert done == (f"é [SECRET] [SECRET] [SECRET], mail ann@example.org 10.0.0.1 ") * 3000
+    mail = personal_report(docs).first()
+    assert (mail.n_email, mail.n_ip) == (3000, 3000)
+    assert time.time() - began < 120
+
+
+def test_free_spans_are_those_that_overlap_none(spark):
+    import random
+
+    from mixedframe.llm.spans import free_of, running_max
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(30):
+        spans = lambda n: [(a, a + rng.randrange(1, 12)) for a in (rng.randrange(0, 900) for _ in range(n))]
+        rows.append((i, spans(rng.choice([0, 3, 600])), spans(rng.choice([0, 2, 700]))))
+    df = spark.createDataFrame(rows, "i int, own array<struct<start:int,end:int>>, taken array<struct<start:int,end:int>>")
+    for r in df.select("i", free_of(F.col("own"), F.col("taken")).alias("free")).collect():
+        own, taken = rows[r.i][1:]
+        assert [tuple(s) for s in r.free] == [s for s in own if not any(a < s[1] and s[0] < b for a, b in taken)]
+    ints = [[], [5], [rng.randrange(10**6) for _ in range(70_000)]]
+    got = spark.createDataFrame([(x,) for x in ints], "v array<int>").select(running_max(F.col("v"), -1)).collect()
+    for x, r in zip(ints, got):
+        best, want = -1, []
+        for v in x:
+            want.append(best)
+            best = max(best, v)
+        assert r[0] == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert personal_report(none).collect() == secret_report(none).collect() == redact_secrets(none).collect() == []

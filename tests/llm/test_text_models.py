@@ -41,6 +41,40 @@ def test_language_of_every_document(spoken):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def posterior(train, text):
+    """Naive Bayes by its definition: log prior and summed log shares of the n-gram buckets."""
+    import math
+    from collections import Counter
+
+    def grams(t):
+        return Counter(int(k) for keys, _, _ in ngrams([t]) for k in keys)
+
+    fits = {}
+    for lang in {x for _, x in train}:
+        own = [t for t, x in train if x == lang]
+        counts = sum((grams(t) for t in own), Counter())
+        total = sum(counts.values()) + language.ALPHA * (1 << language.BITS)
+        fits[lang] = math.log(len(own) / len(train)) + sum(n * math.log((counts[k] + language.ALPHA) / total) for k, n in grams(text).items())
+    best = max(sorted(fits), key=lambda x: fits[x])
+    return best, 1 / sum(math.exp(f - fits[best]) for f in fits.values())
+
+
+@pytest.mark.parametrize("block,at_once", [(256, 1 << 21), (2, 7), (1, 1 << 21)])
+def test_language_is_the_naive_bayes_posterior(spark, monkeypatch, block, at_once):
+    """Also with several blocks of languages and small slices of n-grams."""
+    monkeypatch.setattr(language, "AT_ONCE", at_once)
+    rng = random.Random(6)
+    kinds = {"a": "ab", "b": "abc", "c": "abd", "d": "abcd", "e": "bd"}
+    train = [(sentences(rng, list(v), rng.randrange(1, 6)), k) for k, v in kinds.items() for _ in range(rng.randrange(2, 6))]
+    asked = [sentences(rng, list("abcd"), n) for n in (1, 1, 2, 3, 8)] + ["a", "zz", "ab " * 400]
+    learned = LanguageModel.fit(spark.createDataFrame(train, "text string, lang string"), block)
+    got = learned.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, text in zip(got, asked):
+        lang, score = posterior(train, text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, rel=1e-3)
+        assert r.text == text
+
+
 def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     got = LanguageModel.fit(docs).predict(docs).where(~rejected()).collect()
