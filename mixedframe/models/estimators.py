@@ -9,6 +9,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 
+from .boosting import SoftmaxBooster
 from .features import FEATURES, INDEX, LABEL, SHARES
 
 
@@ -21,12 +22,14 @@ def forest(ntree: int = 201, mtry: int = 3, max_depth: int = 20, seed: int = 1,
 
 
 def boosted(nrounds: int = 250, max_depth: int = 5, eta: float = 0.4, gamma: float = 0.0, colsample: float = 0.8,
-            min_child_weight: int = 1, subsample: float = 0.75, seed: int = 1, parallelism: int = 3) -> OneVsRest:
-    """Boosted trees for any number of classes: one booster per class against the rest.
+            min_child_weight: float = 1, subsample: float = 0.75, seed: int = 1) -> SoftmaxBooster:
+    """Boosted trees on the multi-class log loss, a tree per class and round, columns sampled per tree."""
+    return SoftmaxBooster(nrounds, max_depth, eta, gamma, colsample, min_child_weight, subsample, seed)
 
-    Columns are sampled per split rather than per tree, so results are close to, but
-    not the same as, those of a softmax booster.
-    """
+
+def boosted_one_vs_rest(nrounds: int = 250, max_depth: int = 5, eta: float = 0.4, gamma: float = 0.0, colsample: float = 0.8,
+                        min_child_weight: int = 1, subsample: float = 0.75, seed: int = 1, parallelism: int = 3) -> OneVsRest:
+    """The built-in boosted trees, one booster per class against the rest, columns sampled per split."""
     booster = GBTClassifier(
         labelCol=LABEL, featuresCol=FEATURES, predictionCol=INDEX, maxIter=nrounds, maxDepth=max_depth, stepSize=eta,
         minInfoGain=gamma, featureSubsetStrategy=str(colsample), minInstancesPerNode=min_child_weight,
@@ -37,8 +40,8 @@ def boosted(nrounds: int = 250, max_depth: int = 5, eta: float = 0.4, gamma: flo
     )
 
 
-def logistic(family: str = "multinomial", decay: float = 0.0, max_iter: int = 100) -> LogisticRegression:
+def logistic(family: str = "multinomial", decay: float = 0.0, max_iter: int = 100, tol: float = 1e-6) -> LogisticRegression:
     """Logistic regression, "binomial" or "multinomial"; ``decay`` is the ridge penalty."""
     return LogisticRegression(
-        labelCol=LABEL, featuresCol=FEATURES, predictionCol=INDEX, probabilityCol=SHARES, rawPredictionCol="__raw", family=family, regParam=decay, elasticNetParam=0.0, maxIter=max_iter
+        labelCol=LABEL, featuresCol=FEATURES, predictionCol=INDEX, probabilityCol=SHARES, rawPredictionCol="__raw", family=family, regParam=decay, elasticNetParam=0.0, maxIter=max_iter, tol=tol
     )
