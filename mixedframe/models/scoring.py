@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import key_hash
 from ..session import stage
 from .features import PREDICTION, SHARES, class_labels, is_text, levels_of
+from .statistics import statistic_importance
 
 # R's machine epsilon: keeps the logarithm of a zero share finite
 EPSILON = 2.220446049250313e-16
@@ -62,47 +63,64 @@ def _weights(fitted) -> list[float]:
     return list(sum(parts) / len(parts))
 
 
-def importance_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
+def importance_table(spark: SparkSession, model: PipelineModel, rows: DataFrame | None = None) -> DataFrame:
     """(feature, importance) from the fitted model, highest first.
 
-    Impurity decrease for trees, coefficient magnitude for logistic models; the
-    indicator columns of one category are summed.
+    Impurity decrease for trees, split shares for the softmax booster, and for logistic
+    models coefficient magnitude; the indicator columns of one category are summed. A
+    two-class logistic model with the ``rows`` it was fitted on is judged by its test
+    statistics instead: a feature has the largest of its terms.
     """
+    if rows is not None and getattr(model.stages[-2], "numClasses", 0) == 2 and hasattr(model.stages[-2], "coefficients"):
+        return statistic_importance(model, rows)
     totals: dict[str, float] = {}
     for name, w in zip(_slots(model), _weights(model.stages[-2])):
         totals[name] = totals.get(name, 0.0) + float(w)
-    rows = sorted(totals.items(), key=lambda item: (-item[1], item[0]))
-    return spark.createDataFrame(rows, "feature string, importance double")
+    found = sorted(totals.items(), key=lambda item: (-item[1], item[0]))
+    return spark.createDataFrame(found, "feature string, importance double")
 
 
-def permuted(df: DataFrame, key: str, cols: Sequence[str], blocks: int, salt: str = "", suffix: str = "__moved") -> DataFrame:
+#: rows a task puts in order when columns are shuffled
+BLOCK_ROWS = 100_000
+
+
+def permuted(df: DataFrame, key: str, cols: Sequence[str], salt: str = "", suffix: str = "__moved", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``df`` with, for each listed column, its values moved to other rows as ``<col><suffix>``.
 
-    Rows are dealt into blocks by a hash of the key and put in hash order; each row
-    takes the values of the next, the last those of the first. A random block is a
-    random set of rows, so no global order is needed, and all columns share one shuffle.
+    All rows stand in one order, that of a hash of the key; each takes the values of the next
+    row and the last those of the first. The order is cut into ranges of the hash, as many as
+    leave about ``block_rows`` rows to each, and only a range is ordered by a task; its last
+    row finds the first row of the next range, which is added to it. All columns share one
+    shuffle.
     """
-    block = F.pmod(key_hash(key, f"{salt}-block"), F.lit(blocks))
-    turn = W.partitionBy("__block").orderBy(key_hash(key, salt), key)
-    whole = turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    last = F.row_number().over(turn) == F.count(F.lit(1)).over(W.partitionBy("__block"))
-    row = F.struct(*cols)
-    moved = F.when(last, F.first(row).over(whole)).otherwise(F.lead(row).over(turn))
-    return (
-        df.withColumn("__block", block).withColumn("__row", moved)
-        .select(*df.columns, *[F.col(f"__row.{c}").alias(c + suffix) for c in cols])
-    )
+    n = df.count()
+    blocks = max(1, -(-n // block_rows))
+    span = 1 << 40
+    order = F.pmod(F.xxhash64(F.lit(f"permuted-{salt}"), key_hash(key, salt), F.col(key)), F.lit(span))
+    placed = df.withColumn("__order", order).withColumn("__block", F.floor(F.col("__order") * blocks / float(span)).cast("long"))
+    placed = placed.withColumn("__row", F.struct(*cols))
+    firsts = placed.groupBy("__block").agg(F.min_by("__row", F.struct("__order", F.col(key))).alias("__row"))
+    # one row for each range: the first row of a range goes to the end of the one before it
+    line = W.orderBy("__block")
+    everyone = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = F.coalesce(F.lag("__block").over(line), F.last("__block").over(everyone))
+    firsts = firsts.select(before.alias("__block"), "__row", F.lit(True).alias("__added"))
+    rows = placed.withColumn("__added", F.lit(False)).unionByName(firsts, allowMissingColumns=True)
+    turn = W.partitionBy("__block").orderBy("__added", "__order", key)
+    moved = rows.withColumn("__row", F.lead("__row").over(turn)).where("NOT __added")
+    return moved.select(*df.columns, *[F.col(f"__row.{c}").alias(c + suffix) for c in cols])
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, key: str, target: str, features: Sequence[str],
-                           blocks: int = 16, seed: int = 1, predicted: str = PREDICTION) -> DataFrame:
+                           block_rows: int = BLOCK_ROWS, seed: int = 1, predicted: str = PREDICTION) -> DataFrame:
     """(feature, accuracy, accuracy_drop): loss of accuracy when one column is shuffled.
 
-    The rows are shuffled once for all columns, within ``blocks`` random blocks: a task
-    orders one block, so give more for a larger table. Each row is then laid out once as it
-    is and once per column with that column's moved value, and all are scored in one pass.
+    The rows are shuffled once for all columns. Each row is then laid out once as it is and
+    once per column with that column's moved value, and all are scored in one pass. On the
+    rows a model was fitted on, this also rewards what it has memorised; give it others, or
+    use ``bagging.BaggedForest.importance``, which judges each tree on rows it has not seen.
     """
-    rows = permuted(df.select(key, target, *features), key, list(features), blocks, str(seed))
+    rows = permuted(df.select(key, target, *features), key, list(features), str(seed), block_rows=block_rows)
 
     def variant(name: str) -> Column:
         return F.struct(F.lit(name).alias("feature"), *[F.col(f"{c}__moved" if c == name else c).alias(c) for c in features])

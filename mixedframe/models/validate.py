@@ -3,6 +3,7 @@
 Features are indexed once and the indexed table is written to the shared folder;
 every fit then reads only the vector, the label and the fold. Held-out predictions
 of all settings form one DataFrame, so metrics are ordinary grouped aggregates.
+Folds are balanced within each class of the target.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fold_of
 from ..operators.neighbours import NeighbourIndex, vote
 from ..session import scratch_path, stage
+from .bagging import BaggedForest
 from .features import FEATURES, INDEX, LABEL, SHARES, class_labels, feature_pipeline, widest_category, with_bins
-from .scoring import permutation_importance
+from .folds import with_folds
+from .trees import staged_predictions
 
 Setting = Mapping[str, object]
 
@@ -72,8 +74,8 @@ class _Prepared:
         self.labels, self.levels = class_labels(fitted), widest_category(fitted)
         inputs = fitted.stages[-1].getInputCols()
         self.slot = {c: f"{c}__ix" if f"{c}__ix" in inputs else c for c in features}
-        columns = [F.col(key).alias("key"), fold_of(key, k).alias("fold"), LABEL]
-        self.table = stage(fitted.transform(df).select(*columns, *self.slot.values()), "folds", by="fold")
+        rows = fitted.transform(df).select(F.col(key).alias("key"), LABEL, *self.slot.values())
+        self.table = stage(with_folds(rows, "key", LABEL, k), "folds", by="fold")
 
     def assembler(self, names: Sequence[str]) -> VectorAssembler:
         return VectorAssembler(inputCols=[self.slot[c] for c in names], outputCol=FEATURES)
@@ -82,12 +84,16 @@ class _Prepared:
         assembler = self.assembler(names)
         return PipelineModel([assembler, with_bins(estimator, self.levels).fit(assembler.transform(rows))])
 
-    def ranking(self, model: PipelineModel, names: Sequence[str], rows: DataFrame) -> list[str]:
-        """Features by the accuracy lost when one is shuffled, most first."""
-        slots = [self.slot[c] for c in names]
-        lost = permutation_importance(model, rows, "key", LABEL, slots, predicted=INDEX).collect()
-        drop = {r.feature: r.accuracy_drop for r in lost}
-        return sorted(names, key=lambda c: (-drop[self.slot[c]], c))
+    def ranking(self, names: Sequence[str], rows: DataFrame, ntree: int, mtry: int, depth: int, seed: int = 1) -> DataFrame:
+        """(feature, accuracy_drop, sd) on the rows that each tree of a forest has not seen."""
+        vectors = stage(self.assembler(names).transform(rows).select("key", LABEL, FEATURES), "vectors")
+        bag = BaggedForest.fit(vectors, "key", ntree, mtry, depth, seed, max(32, self.levels))
+        return bag.importance(vectors, [[i] for i in range(len(names))], names)
+
+
+def _order(importance: DataFrame) -> list[str]:
+    """Features by the accuracy lost, most first."""
+    return [r.feature for r in sorted(importance.collect(), key=lambda r: (-r.accuracy_drop, r.feature))]
 
 
 def tune(make: Callable[..., Estimator], df: DataFrame, key: str, target: str, features: Sequence[str],
@@ -99,10 +105,8 @@ def tune(make: Callable[..., Estimator], df: DataFrame, key: str, target: str, f
     Fits of different folds and settings run at the same time, ``parallelism`` of them.
     """
     prepared = feature_pipeline(df, target, features, onehot).fit(df)
-    table = stage(
-        prepared.transform(df).select(F.col(key).alias("key"), fold_of(key, k).alias("fold"), LABEL, FEATURES),
-        "folds", by="fold",
-    )
+    rows = prepared.transform(df).select(F.col(key).alias("key"), LABEL, FEATURES)
+    table = stage(with_folds(rows, "key", LABEL, k), "folds", by="fold")
     labels, levels = class_labels(prepared), widest_category(prepared)
 
     def run(job: tuple[Setting, int]) -> Iterator[DataFrame]:
@@ -113,6 +117,28 @@ def tune(make: Callable[..., Estimator], df: DataFrame, key: str, target: str, f
     return _held_out(df.sparkSession, run, [(s, f) for s in grid for f in range(k)], parallelism)
 
 
+def tune_tree_counts(make: Callable[[int], Estimator], df: DataFrame, key: str, target: str, features: Sequence[str],
+                     counts: Sequence[int], k: int = 10, onehot: bool = False, parallelism: int = 2) -> DataFrame:
+    """Held-out predictions (setting ``ntree=n``, fold, key, obs, pred) of the first n trees of one forest per fold.
+
+    ``make(n)`` builds a forest of n trees; only the largest is fitted, and one pass over the
+    held-out rows gives the predictions of all counts.
+    """
+    prepared = feature_pipeline(df, target, features, onehot).fit(df)
+    rows = prepared.transform(df).select(F.col(key).alias("key"), LABEL, FEATURES)
+    table = stage(with_folds(rows, "key", LABEL, k), "folds", by="fold")
+    labels, levels = class_labels(prepared), widest_category(prepared)
+    name = lambda at: F.element_at(F.array(*[F.lit(v) for v in labels]), at.cast("int") + 1)
+
+    def run(fold: int) -> Iterator[DataFrame]:
+        model = with_bins(make(max(counts)), levels).fit(table.filter(F.col("fold") != fold))
+        scored = staged_predictions(model, table.filter(F.col("fold") == fold), counts)
+        each = scored.select("fold", "key", name(F.col(LABEL)).alias("obs"), F.explode("staged").alias("ntree", "at"))
+        yield each.select(F.concat(F.lit("ntree="), F.col("ntree").cast("string")).alias("setting"), "fold", "key", "obs", name(F.col("at")).alias("pred"))
+
+    return _held_out(df.sparkSession, run, range(k), parallelism)
+
+
 def cross_validate(estimator: Estimator, df: DataFrame, key: str, target: str, features: Sequence[str],
                    k: int = 10, onehot: bool = False, parallelism: int = 2) -> DataFrame:
     """Held-out predictions (fold, key, obs, pred) of one estimator."""
@@ -123,7 +149,8 @@ def cross_validate_knn(df: DataFrame, key: str, target: str, features: Sequence[
                        k: int = 10, **options) -> DataFrame:
     """Held-out predictions of the nearest-neighbour classifier, from one index for all folds."""
     named = [features] if isinstance(features, str) else list(features)
-    table = stage(df.select(key, target, *[c for c in named if c not in (key, target)]).withColumn("fold", fold_of(key, k)), "folds")
+    rows = df.select(key, target, *[c for c in named if c not in (key, target)])
+    table = stage(with_folds(rows, key, target, k), "folds")
     near = NeighbourIndex(key, features, neighbours, [target], apart="fold", **options).fit(table).join(table, key)
     found = vote(near, key, target, "pred")
     return found.join(table.select(key, "fold", F.col(target).alias("obs")), key).withColumnRenamed(key, "key")
@@ -163,29 +190,37 @@ def one_se_rule(results: DataFrame, complexity: str, value: str = "accuracy", sd
 
 
 def rfe(make: Callable[[int], Estimator], df: DataFrame, key: str, target: str, features: Sequence[str],
-        sizes: Sequence[int] = (4, 6, 8, 10, 12), k: int = 10, parallelism: int = 2) -> tuple[DataFrame, list[str]]:
-    """Recursive feature elimination.
+        sizes: Sequence[int] = (4, 6, 8, 10, 12), k: int = 10, parallelism: int = 2, ranking: Mapping | None = None) -> DataFrame:
+    """Recursive feature elimination: held-out predictions with column ``size``.
 
-    In each fold the features are ranked once, by the accuracy lost when one is shuffled,
-    and the model is refitted on the best of each size (and on all). ``make(n)`` builds
-    the estimator for n features. Returns the held-out predictions, with column ``size``,
-    and the features ordered by their ranking on the whole table.
+    In each fold the features are ranked once, by the accuracy that the trees of a bagged
+    forest lose on their out-of-bag rows when a feature is shuffled, and the model is
+    refitted on the best of each size (and on all). ``make(n)`` builds the estimator for n
+    features; ``ranking`` may set ntree, mtry, depth and seed of the bagged forest.
     """
     prepared = _Prepared(df, key, target, features, k)
+    bag = _bag_settings(len(features), ranking)
 
     def run(fold: int) -> Iterator[DataFrame]:
         train, test = prepared.table.filter(F.col("fold") != fold), prepared.table.filter(F.col("fold") == fold)
-        full = prepared.fit(make(len(features)), features, train)
-        ranking = prepared.ranking(full, features, train)
-        yield _predict(full, test, prepared.labels, str(len(features)))
+        order = _order(prepared.ranking(features, train, **bag))
+        yield _predict(prepared.fit(make(len(features)), features, train), test, prepared.labels, str(len(features)))
         for size in sorted(set(sizes)):
             if size < len(features):
-                model = prepared.fit(make(size), ranking[:size], train)
-                yield _predict(model, test, prepared.labels, str(size))
+                yield _predict(prepared.fit(make(size), order[:size], train), test, prepared.labels, str(size))
 
     held_out = _held_out(df.sparkSession, run, range(k), parallelism)
-    held_out = held_out.withColumn("size", F.col("setting").cast("int")).drop("setting")
-    return held_out, prepared.ranking(prepared.fit(make(len(features)), features, prepared.table), features, prepared.table)
+    return held_out.withColumn("size", F.col("setting").cast("int")).drop("setting")
+
+
+def _bag_settings(n_features: int, given: Mapping | None) -> dict:
+    return {"ntree": 201, "mtry": max(1, round(n_features**0.5)), "depth": 20, "seed": 1, **(given or {})}
+
+
+def rank_features(df: DataFrame, key: str, target: str, features: Sequence[str], **ranking) -> DataFrame:
+    """(feature, accuracy_drop, sd): out-of-bag permutation importance of a bagged forest on the whole table."""
+    prepared = _Prepared(df, key, target, features, 1)
+    return prepared.ranking(features, prepared.table, **_bag_settings(len(features), ranking))
 
 
 def ablate(estimator: Estimator, df: DataFrame, key: str, target: str, base: Sequence[str],

@@ -231,16 +231,26 @@ def fit_models(train: DataFrame, k: int = 10, forest_params: Mapping | None = No
 SELECTED_FEATURES = tuple(c for c in BOOSTED_FEATURES if c not in ELIMINATED)
 
 
-def eliminate_features(train: DataFrame, sizes: Sequence[int] = SIZES, k: int = 10, ntree: int = 501) -> tuple[DataFrame, list[str]]:
-    """(size, k, accuracy, accuracy_sd, ci) of recursive elimination, and the features in order of rank."""
-    held_out, ranking = validate.rfe(lambda n: forest(ntree, max(1, round(n**0.5))), train, KEY, TARGET, BOOSTED_FEATURES, sizes, k)
-    return validate.summarize_folds(validate.fold_accuracy(held_out, ["size"]), ["size"]), ranking
+def eliminate_features(train: DataFrame, sizes: Sequence[int] = SIZES, k: int = 10, ntree: int = 501) -> DataFrame:
+    """(size, k, accuracy, accuracy_sd, ci) of recursive elimination."""
+    make = lambda n: forest(ntree, max(1, round(n**0.5)))
+    held_out = validate.rfe(make, train, KEY, TARGET, BOOSTED_FEATURES, sizes, k, ranking={"ntree": ntree})
+    return validate.summarize_folds(validate.fold_accuracy(held_out, ["size"]), ["size"])
+
+
+def rank_features(train: DataFrame, ntree: int = 501) -> DataFrame:
+    """(feature, accuracy_drop, sd) out of bag, on the whole training table."""
+    return validate.rank_features(train, KEY, TARGET, BOOSTED_FEATURES, ntree=ntree)
 
 
 def tune_forest(train: DataFrame, trees: Sequence[int] = TREE_COUNTS, mtry: Sequence[int] = COLUMNS_TRIED, k: int = 10, ntree: int = 201) -> DataFrame:
-    """(setting, k, accuracy, accuracy_sd, ci) for each tree count with 3 columns tried, and each number of columns."""
-    grid = list({(n, m): {"ntree": n, "mtry": m} for n, m in [*((n, 3) for n in trees), *((ntree, m) for m in mtry)]}.values())
-    held_out = validate.tune(lambda ntree, mtry: forest(ntree, mtry), train, KEY, TARGET, SELECTED_FEATURES, grid, k)
+    """(setting, k, accuracy, accuracy_sd, ci) for each tree count with 3 columns tried, and each number of columns.
+
+    The tree counts are prefixes of one forest per fold.
+    """
+    counts = validate.tune_tree_counts(lambda n: forest(n, 3), train, KEY, TARGET, SELECTED_FEATURES, trees, k)
+    columns = validate.tune(lambda mtry: forest(ntree, mtry), train, KEY, TARGET, SELECTED_FEATURES, [{"mtry": m} for m in mtry], k)
+    held_out = counts.unionByName(columns.drop("probability"))
     return validate.summarize_folds(validate.fold_accuracy(held_out))
 
 

@@ -147,11 +147,11 @@ def test_importance(spark, table, rf):
 
 
 def test_permutation_keeps_values_and_importance_ranks(table, rf):
-    moved = scoring.permuted(table, "id", ["x", "cat"], 4).toPandas()
+    moved = scoring.permuted(table, "id", ["x", "cat"], block_rows=150).toPandas()
     for c in ("x", "cat"):
         assert sorted(moved[c]) == sorted(moved[f"{c}__moved"])
     assert (moved["x"] != moved["x__moved"]).mean() > 0.99
-    drops = {r.feature: r.accuracy_drop for r in scoring.permutation_importance(rf, table, "id", "status", FEATURES, 4).collect()}
+    drops = {r.feature: r.accuracy_drop for r in scoring.permutation_importance(rf, table, "id", "status", FEATURES, 150).collect()}
     assert drops["x"] > 0.05 and abs(drops["noise"]) < 0.02
 
 
@@ -191,10 +191,9 @@ def test_one_se_rule_prefers_simple(spark):
 
 
 def test_feature_elimination(table):
-    held_out, ranking = validate.rfe(lambda n: forest(5, min(2, n), 4), table, "id", "status", FEATURES, sizes=(1, 2), k=2)
+    held_out = validate.rfe(lambda n: forest(5, min(2, n), 4), table, "id", "status", FEATURES, sizes=(1, 2), k=2, ranking={"ntree": 5, "mtry": 2, "depth": 6})
     results = {r["size"]: r.accuracy for r in validate.summarize_folds(validate.fold_accuracy(held_out, ["size"]), ["size"]).collect()}
     assert set(results) == {1, 2, 4} and results[2] > 0.9
-    assert ranking[-1] == "noise"
 
 
 def test_ablation_with_leak(table):
