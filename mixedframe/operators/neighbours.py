@@ -202,6 +202,26 @@ class NeighbourIndex:
         self.cells = Cells(pivots, rows_, lo, hi)
         return self
 
+    def state(self) -> dict:
+        """The settings, the cells as a table, and the stored reference rows."""
+        cells = [
+            (i, p.tolist(), float(n), float(lo), float(hi))
+            for i, (p, n, lo, hi) in enumerate(zip(self.cells.pivots, self.cells.rows, self.cells.nearest_row, self.cells.furthest_row))
+        ]
+        table = self.refs.sparkSession.createDataFrame(cells, "cell int, pivot array<double>, n double, lo double, hi double")
+        settings = ("key", "features", "k", "payload", "exclude_self", "n_pivots", "block_refs", "block_queries", "apart")
+        return {**{c: getattr(self, c) for c in settings}, "cells": table, "refs": self.refs}
+
+    @classmethod
+    def restored(cls, state: dict) -> NeighbourIndex:
+        settings = {c: state[c] for c in ("key", "features", "k", "payload", "exclude_self", "block_refs", "block_queries", "apart")}
+        index = cls(**settings, pivots=state["n_pivots"])
+        rows = state["cells"].orderBy("cell").collect()
+        column = lambda c: np.array([r[c] for r in rows], float)
+        index.cells = Cells(np.array([r["pivot"] for r in rows], float).reshape(len(rows), -1), column("n"), column("lo"), column("hi"))
+        index.refs = state["refs"]
+        return index
+
     def _visits(self, vectors: DataFrame, first: bool) -> DataFrame:
         cells, wanted = self.cells, self.wanted
         schema = T.StructType([*vectors.schema, T.StructField("__cell", T.IntegerType())])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mixedframe.operators.profile import missing_profile, transitions
 from mixedframe.plans import wells
-from mixedframe.sources import read_table
+from mixedframe.sources import load_fitted, read_table, save_fitted
 
 FUNDERS = ["Central Government", "GOVER", "Italian Gov", "District Council", "Methodist District", "Village Council",
            "Village Community", "Comm Bank", " ", "0", "_", "-", "", "Danida", "Danida", "Unicef"]
@@ -109,6 +109,14 @@ def test_population_imputation(cleaned):
     assert (known["pop_log"] == known["pop_log3"]).all()
 
 
+def test_a_stored_cleaner_cleans_the_same(spark, cleaned, tables, tmp_path):
+    cleaner = wells.WellsCleaner(2, 3, 2).fit(tables[0])
+    save_fitted(spark, cleaner, str(tmp_path / "cleaner"))
+    again = load_fitted(spark, str(tmp_path / "cleaner"))
+    want = cleaner.transform(tables[0])
+    assert again.transform(tables[0]).exceptAll(want).isEmpty() and want.count() == again.transform(tables[0]).count()
+
+
 def test_missing_profile(tables):
     rows = {r["column"]: r.share for r in missing_profile(tables[0], wells.missing_rules(tables[0])).collect()}
     assert rows["amount_tsh"] == pytest.approx(1 / 3) and rows["construction_year"] == 0.25 and rows["latitude"] == 0.0
@@ -125,6 +133,9 @@ def test_models_and_submissions(spark, cleaned, tmp_path):
         assert back.count() == 60 and {r[0] for r in back.select("status_group").distinct().collect()} <= set(STATUS)
     fitted = models.predictions(train).join(train.select("id", "status_group"), "id")
     assert fitted.filter("stack = status_group").count() > 200
+    save_fitted(spark, models, str(tmp_path / "models"))
+    again = load_fitted(spark, str(tmp_path / "models")).predictions(test)
+    assert again.count() == 60 and again.exceptAll(models.predictions(test)).isEmpty()
     changes = transitions(wells.class_changes(models.pipelines["rf"], train), "before", "after").collect()
     assert sum(r.n for r in changes if r.before is None) == sum(r.n for r in changes if r.before is not None)
 
@@ -132,10 +143,11 @@ def test_models_and_submissions(spark, cleaned, tmp_path):
 def test_rest_of_the_study(cleaned):
     """Elimination, tuning, substitutions, the two-class model and the comparison, on small settings."""
     _, train, _ = cleaned
-    sizes, ranking = wells.eliminate_features(train, sizes=(4, 8), k=2, ntree=3)
-    assert {r["size"] for r in sizes.collect()} == {4, 8, 13} and set(ranking) == set(wells.BOOSTED_FEATURES)
+    sizes = wells.eliminate_features(train, sizes=(4, 8), k=2, ntree=3)
+    assert {r["size"] for r in sizes.collect()} == {4, 8, 13}
+    assert {r.feature for r in wells.rank_features(train, ntree=3).collect()} == set(wells.BOOSTED_FEATURES)
     tuned = {r.setting for r in wells.tune_forest(train, trees=(3, 5), mtry=(2, 3), k=2, ntree=5).collect()}
-    assert tuned == {"ntree=3,mtry=3", "ntree=5,mtry=3", "ntree=5,mtry=2"}
+    assert tuned == {"ntree=3", "ntree=5", "mtry=2", "mtry=3"}
     swapped = wells.substitute_features(train, k=2, ntree=3).collect()
     assert {r.setting for r in swapped} == {"baseline", *wells.SUBSTITUTIONS} and all(r.k == 2 for r in swapped)
     two = wells.two_class_models(train, k=2)
