@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import fold_of
 from ..models import evaluate, validate
 from ..models.ensemble import dissent_vote
+from ..models.folds import stratified_folds
+from ..operators.near_buckets import BucketIndex
 from ..operators.neighbours import knn_classify, knn_join
+from ..session import stage
 from .registry import query
 
 # four rule-based class predictions per order
@@ -238,3 +241,35 @@ def knn_classify_query(t):
     parts = t("part").select("p_partkey", "p_type", *[c.alias(n) for n, c in scaled.items()])
     held_out = F.col("p_partkey") % 4 == 0
     return knn_classify(parts.filter(~held_out), parts.filter(held_out), "p_partkey", list(scaled), "p_type", 7)
+
+
+@query(
+    "knn_join_approximate",
+    "SELECT count(*) AS n_queries, true AS finds_nine_in_ten, true AS compares_less_than_half FROM part",
+)
+def knn_join_approximate(t):
+    """Neighbours of all parts by bucketed projections: the share found of the exact ones, and of all pairs compared."""
+    scaled = {"x": F.col("p_size") / 16, "y": F.col("p_retailprice") / 128, "z": F.char_length("p_name") / 4}
+    parts = stage(t("part").select("p_partkey", *[c.alias(n) for n, c in scaled.items()]), "parts")
+    index = BucketIndex("p_partkey", list(scaled), 7, exclude_self=True).fit(parts)
+    exact = knn_join(parts, parts, "p_partkey", list(scaled), 7, exclude_self=True)
+    # ties at the last distance may be other parts, so distances are compared
+    last = exact.groupBy("p_partkey").agg(F.max("distance").alias("last"), F.count("ref_key").alias("n"))
+    found = index.join(parts, "p_partkey").join(last, "p_partkey").groupBy("p_partkey").agg(
+        (F.count_if(F.col("distance") <= F.col("last") + 1e-9) / F.max("n")).alias("share")
+    )
+    visited = index.visited_share(parts, "p_partkey")
+    return found.agg(F.count("*").alias("n_queries"), (F.avg("share") >= 0.9).alias("finds_nine_in_ten"), F.lit(visited < 0.5).alias("compares_less_than_half"))
+
+
+@query(
+    "stratified_folds",
+    """
+    SELECT o_orderkey, o_orderstatus,
+           CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT, o_orderkey) - 1) % 10 AS INTEGER) AS fold
+    FROM orders
+    """,
+)
+def stratified_folds_query(t):
+    """Ten folds of the orders, balanced within each status."""
+    return stratified_folds(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 10)

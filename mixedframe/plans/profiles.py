@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..functions import CENTRE_DEN, CENTRE_NUM, MIDDLE_DEN, MIDDLE_NUM, TAIL_DEN, TAIL_NUM
 from ..operators import distribution, profile
+from ..operators.dependencies import column_dependencies
 from .registry import query
 
 
@@ -204,6 +207,30 @@ def structure(t):
     return profile.describe_structure(t("orders"))
 
 
+PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+def _dependencies_sql(cols: tuple[str, ...]) -> str:
+    """Every set of one or two columns with each other column it determines, for minimal sets."""
+    holds = lambda s, d: f"NOT EXISTS (SELECT 1 FROM part GROUP BY {', '.join(s)} HAVING count(DISTINCT {d}) > 1)"
+    one = [f"SELECT '{a}' AS a, '{d}' AS d, {holds([a], d)} AS holds" for a in cols for d in cols if a != d]
+    two = [f"SELECT '{a}' AS a, '{b}' AS b, '{d}' AS d, {holds([a, b], d)} AS holds" for a, b in combinations(cols, 2) for d in cols if d not in (a, b)]
+    return f"""
+    WITH one AS (SELECT a, d FROM ({' UNION ALL '.join(one)}) WHERE holds),
+         two AS (SELECT a, b, d FROM ({' UNION ALL '.join(two)}) WHERE holds)
+    SELECT a AS determinant, d AS dependent, 1 AS size, EXISTS (SELECT 1 FROM one o WHERE o.a = one.d AND o.d = one.a) AS relabelling FROM one
+    UNION ALL
+    SELECT a || ',' || b, d, 2, false FROM two WHERE NOT EXISTS (
+      SELECT 1 FROM one o WHERE (o.a IN (two.a, two.b) AND o.d = two.d) OR (o.a = two.a AND o.d = two.b) OR (o.a = two.b AND o.d = two.a))
+    """
+
+
+@query("column_dependencies", _dependencies_sql(PART))
+def column_dependencies_query(t):
+    """All functions among the columns of the parts, of one column or of two."""
+    return column_dependencies(t("part").select(*PART), max_size=2)
+
+
 @query(
     "column_relation",
     """
@@ -284,16 +311,14 @@ def box_stats(t):
     "kde",
     """
     WITH e AS (SELECT event_type, value FROM events UNION ALL SELECT 'tied', 100.0 FROM events WHERE event_type = 'error'),
-         x AS (SELECT event_type, log10(value) AS x, log10(value) / (log10(350000) / 4096) AS p FROM e WHERE value >= 1 AND value <= 350000),
+         x AS (SELECT event_type, log10(value) AS x FROM e WHERE value >= 1 AND value <= 350000),
          s AS (SELECT event_type, count(*) AS n, stddev_samp(x) AS sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, min(x) AS low FROM x GROUP BY event_type),
          h AS (SELECT event_type, 2 * 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd
                                             WHEN abs(low) > 0 THEN abs(low) ELSE 1 END * pow(n, -0.2) AS h FROM s),
-         c AS (SELECT event_type, least(floor(p), 4095) AS cell, count(*) AS n, sum(p - least(floor(p), 4095)) AS above FROM x GROUP BY 1, 2),
-         b AS (SELECT event_type, unnest([cell, cell + 1]) * log10(350000) / 4096 AS x, unnest([n - above, above]) AS w FROM c),
          g AS (SELECT i AS grid_no, i * log10(350000) / 511 AS gx FROM range(512) r(i))
-    SELECT b.event_type, CAST(grid_no AS INTEGER) AS grid_no, round(gx, 6) AS x,
-           round(sum(w * exp(-0.5 * ((gx - b.x) / h) * ((gx - b.x) / h))) / (h * sqrt(2 * pi())) * 2, 4) AS density
-    FROM b JOIN h ON b.event_type = h.event_type CROSS JOIN g GROUP BY b.event_type, grid_no, gx, h
+    SELECT x.event_type, CAST(grid_no AS INTEGER) AS grid_no, round(gx, 6) AS x,
+           round(sum(exp(-0.5 * ((gx - x.x) / h) * ((gx - x.x) / h))) / (h * sqrt(2 * pi())) * 2, 4) AS density
+    FROM x JOIN h ON x.event_type = h.event_type CROSS JOIN g GROUP BY x.event_type, grid_no, gx, h
     """,
 )
 def kde(t):
