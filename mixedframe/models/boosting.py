@@ -28,7 +28,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import discard, stage
 from .features import FEATURES, INDEX, LABEL, SHARES
 
 BINS = 64
@@ -194,6 +194,7 @@ class SoftmaxBooster(Estimator):
             raise ValueError("no rows to learn from")
         cuts = self._cuts(rows, d)
         table = self._stored(rows, cuts, classes)
+        discard(dataset.sparkSession, rows)
         parts = table.rdd.getNumPartitions()
         rng = np.random.default_rng(self.seed)
         n_columns = max(1, round(self.colsample * d))
@@ -210,8 +211,10 @@ class SoftmaxBooster(Estimator):
                     grow_level(trees[k], sums[k], level, columns[k], self.eta, self.gamma, self.min_child_weight)
             done.append(trees)
             if len(done) - since == KEEP and len(done) < self.nrounds:
-                table, since = self._advanced(table, done[since:], d, classes), len(done)
+                old, table, since = table, self._advanced(table, done[since:], d, classes), len(done)
+                discard(dataset.sparkSession, old)
                 parts = table.rdd.getNumPartitions()
+        discard(dataset.sparkSession, table)
         real = [[Tree(t.feature, _real_cuts(t, cuts), t.value) for t in trees] for trees in done]
         return SoftmaxBoosterModel(real, d, losses)
 

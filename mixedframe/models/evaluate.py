@@ -110,12 +110,20 @@ def accuracy_by_model(df: DataFrame, cols: Sequence[str], target: str) -> DataFr
 
 
 def regression_metrics(df: DataFrame, pred: str, obs: str, by: Sequence[str] = ()) -> DataFrame:
-    """Squared correlation, root mean squared error and mean absolute error."""
+    """Squared correlation, root mean squared error and mean absolute error over the ``n`` rows that have both.
+
+    ``n_missing`` counts the observed rows without a prediction, which the errors say nothing about.
+    """
     p, o = F.col(pred).cast("double"), F.col(obs).cast("double")
-    both = df.filter(p.isNotNull() & o.isNotNull())
-    r = F.try_divide(F.covar_pop(p, o), F.sqrt(F.var_pop(p)) * F.sqrt(F.var_pop(o)))
-    return both.groupBy(*by).agg(
-        F.count("*").alias("n"), (r * r).alias("r2"), F.sqrt(F.avg((p - o) * (p - o))).alias("rmse"), F.avg(F.abs(p - o)).alias("mae")
+    both = p.isNotNull() & o.isNotNull()
+    held = lambda c: F.when(both, c)
+    r = F.try_divide(F.covar_pop(held(p), held(o)), F.sqrt(F.var_pop(held(p))) * F.sqrt(F.var_pop(held(o))))
+    return df.groupBy(*by).agg(
+        F.count_if(both).alias("n"),
+        F.count_if(o.isNotNull() & p.isNull()).alias("n_missing"),
+        (r * r).alias("r2"),
+        F.sqrt(F.avg((p - o) * (p - o))).alias("rmse"),
+        F.avg(F.abs(p - o)).alias("mae"),
     )
 
 

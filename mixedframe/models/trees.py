@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import discard, scratch_path
 from .features import FEATURES
 
 
@@ -75,6 +75,7 @@ def trees_of(spark: SparkSession, model) -> list[StoredTree]:
     node = ["id", "leftChild", "rightChild", "impurityStats"]
     split = [F.col("nodeData.split.featureIndex"), F.col("nodeData.split.leftCategoriesOrThreshold").alias("values"), F.col("nodeData.split.numCategories")]
     nodes = spark.read.parquet(f"{path}/data").select("treeID", *[F.col(f"nodeData.{c}") for c in node], *split).toPandas()
+    discard(spark, path)
     return [_tree(own) for _, own in nodes.groupby("treeID")]
 
 

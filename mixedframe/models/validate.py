@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.neighbours import NeighbourIndex, vote
-from ..session import scratch_path, stage
+from ..session import discard, scratch_path, stage
 from .bagging import BaggedForest
 from .features import FEATURES, INDEX, LABEL, SHARES, class_labels, feature_pipeline, widest_category, with_bins
 from .folds import with_folds
@@ -48,12 +48,14 @@ def _predict(model, test: DataFrame, labels: Sequence[str], setting: str) -> Dat
     return scored.select(F.lit(setting).alias("setting"), "fold", "key", "obs", "pred", *probability)
 
 
-def _held_out(spark: SparkSession, run: Callable[[object], Iterator[DataFrame]], jobs: Sequence, parallelism: int) -> DataFrame:
+def _held_out(table: DataFrame, run: Callable[[object], Iterator[DataFrame]], jobs: Sequence, parallelism: int) -> DataFrame:
     """The frames of all jobs, as one scan.
 
     Each frame is written to one folder of its own as soon as it is there, and its model is
-    let go, so neither the plan nor the driver grows with folds and settings.
+    let go, so neither the plan nor the driver grows with folds and settings. ``table``, the
+    stored rows of all folds, is deleted when the last job is done.
     """
+    spark = table.sparkSession
     folder = scratch_path(spark, "held-out")
 
     def work(numbered: tuple[int, object]) -> None:
@@ -63,6 +65,7 @@ def _held_out(spark: SparkSession, run: Callable[[object], Iterator[DataFrame]],
 
     with ThreadPool(parallelism) as pool:
         pool.map(work, list(enumerate(jobs)))
+    discard(spark, table)
     return spark.read.parquet(folder).drop("job", "part")
 
 
@@ -88,7 +91,9 @@ class _Prepared:
         """(feature, accuracy_drop, sd) on the rows that each tree of a forest has not seen."""
         vectors = stage(self.assembler(names).transform(rows).select("key", LABEL, FEATURES), "vectors")
         bag = BaggedForest.fit(vectors, "key", ntree, mtry, depth, seed, max(32, self.levels))
-        return bag.importance(vectors, [[i] for i in range(len(names))], names)
+        found = stage(bag.importance(vectors, [[i] for i in range(len(names))], names), "importance")
+        discard(rows.sparkSession, vectors)
+        return found
 
 
 def _order(importance: DataFrame) -> list[str]:
@@ -114,7 +119,7 @@ def tune(make: Callable[..., Estimator], df: DataFrame, key: str, target: str, f
         model = with_bins(make(**setting), levels).fit(table.filter(F.col("fold") != fold))
         yield _predict(model, table.filter(F.col("fold") == fold), labels, setting_name(setting))
 
-    return _held_out(df.sparkSession, run, [(s, f) for s in grid for f in range(k)], parallelism)
+    return _held_out(table, run, [(s, f) for s in grid for f in range(k)], parallelism)
 
 
 def tune_tree_counts(make: Callable[[int], Estimator], df: DataFrame, key: str, target: str, features: Sequence[str],
@@ -136,7 +141,7 @@ def tune_tree_counts(make: Callable[[int], Estimator], df: DataFrame, key: str,
         each = scored.select("fold", "key", name(F.col(LABEL)).alias("obs"), F.explode("staged").alias("ntree", "at"))
         yield each.select(F.concat(F.lit("ntree="), F.col("ntree").cast("string")).alias("setting"), "fold", "key", "obs", name(F.col("at")).alias("pred"))
 
-    return _held_out(df.sparkSession, run, range(k), parallelism)
+    return _held_out(table, run, range(k), parallelism)
 
 
 def cross_validate(estimator: Estimator, df: DataFrame, key: str, target: str, features: Sequence[str],
@@ -209,7 +214,7 @@ def rfe(make: Callable[[int], Estimator], df: DataFrame, key: str, target: str,
             if size < len(features):
                 yield _predict(prepared.fit(make(size), order[:size], train), test, prepared.labels, str(size))
 
-    held_out = _held_out(df.sparkSession, run, range(k), parallelism)
+    held_out = _held_out(prepared.table, run, range(k), parallelism)
     return held_out.withColumn("size", F.col("setting").cast("int")).drop("setting")
 
 
@@ -240,4 +245,4 @@ def ablate(estimator: Estimator, df: DataFrame, key: str, target: str, base: Seq
         model = prepared.fit(estimator, lists[name], prepared.table.filter(F.col("fold") != fold))
         yield _predict(model, prepared.table.filter(F.col("fold") == fold), prepared.labels, name)
 
-    return _held_out(df.sparkSession, run, [(n, f) for n in lists for f in range(k)], parallelism)
+    return _held_out(prepared.table, run, [(n, f) for n in lists for f in range(k)], parallelism)

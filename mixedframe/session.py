@@ -47,8 +47,9 @@ _staged: list[str] = []
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, which ``drop_staged`` deletes."""
-    _staged.append(os.path.join(shared_dir(spark), f"mixedframe-{label}-{uuid.uuid4().hex}"))
-    return _staged[-1]
+    path = os.path.join(shared_dir(spark), f"mixedframe-{label}-{uuid.uuid4().hex}")
+    _staged.append(path)
+    return path
 
 
 def drop_staged(spark: SparkSession) -> int:
@@ -60,6 +61,16 @@ def drop_staged(spark: SparkSession) -> int:
     return removed
 
 
+def discard(spark: SparkSession, *what: DataFrame | str) -> None:
+    """Delete staged tables (or scratch paths) that nothing will read again, as after a fit that is done."""
+    for item in what:
+        path = item if isinstance(item, str) else getattr(item, "staged_at", None)
+        if path in _staged:
+            _staged.remove(path)
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stage(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back, split into folders by ``by``.
 
@@ -70,4 +81,6 @@ def stage(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFra
     path = scratch_path(df.sparkSession, label)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    staged = df.sparkSession.read.parquet(path)
+    staged.staged_at = path
+    return staged
