@@ -7,8 +7,10 @@ every run and on every retry, and no task has to know of any other. Copies are t
 in a global random order by a hash of id and copy number.
 
 Defined cases: null is a source of its own; rows that share a doc_id share the draw; a
-source without a given weight has weight 0; an empty table stays empty; null and empty
-texts are documents like any other.
+source without a given weight has weight 0; an empty table stays empty; null, empty and very
+long texts are documents like any other, as texts are not read; repeated rows are repeated
+each; columns of the input pass through, but those named ``__u``, ``__n``, ``__copy``,
+``__place``, ``__source`` and ``__below`` are replaced.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ by their validators alone, so context never drops them. Account numbers (``iban`
 length that their country prescribes, need the mod-97 check and a score of 0.5; national phone numbers (``local_phone``) have a base score
 of 0.3 and need a phone word nearby.
 
-Defined cases: a null text is empty; columns of the input pass through, a column named
-``personal`` is replaced.
+Defined cases: a null text is empty; an empty text has no spans; a text of any length is
+searched whole, in time proportional to its length; repeated rows are reported each; an empty
+table gives no rows; columns of the input pass through, a column named ``personal`` is
+replaced, as is one named ``__text``, ``__base`` or ``__more``.
 """
 
 from __future__ import annotations

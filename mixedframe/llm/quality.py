@@ -7,7 +7,9 @@ complete and stored as flat arrays, so scoring walks all trees and documents at
 
 Defined cases: null and blank texts have all statistics 0 and are scored like any other; a
 label that is null or not 0 or 1 teaches nothing; without labels every score is 0.5, with
-one class only it is that class.
+one class only it is that class; a text of any length is measured whole, in runs of about a
+megabyte; repeated rows are scored each, and a repeated label counts each time; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

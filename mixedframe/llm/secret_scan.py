@@ -12,8 +12,11 @@ such a candidate; an address ends at white space, a quote, a comma, a semicolon
 Spans of the fixed patterns are never suppressed. Random letters of one case are no more
 uneven than long words and are found only where their entropy is above that of most words.
 
-Defined cases: a null text is empty; columns of the input pass through, one with the name
-of the output is replaced.
+Defined cases: a null text is empty (and stays null when redacted); an empty text has no
+spans; a text of any length is scanned and redacted whole, in time proportional to its length;
+repeated rows are reported each; an empty table gives no rows; columns of the input pass
+through, one with the name of the output is replaced, as is one named ``__text``, ``__base``
+or ``__found``.
 """
 
 from __future__ import annotations
