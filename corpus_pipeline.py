@@ -3,6 +3,13 @@
 Each stage takes the documents its predecessor kept and returns documents with the same
 columns; the last returns where every document is packed. A stage's result is written as
 Parquet and read again.
+
+Defined cases: a null, empty or blank text has no language and goes in the first stage (if
+there is a language to learn); a null ``lang`` teaches nothing, a null ``source`` is a source of
+its own, a null ``doc_id`` is near no other document; texts of any length are read whole in
+every stage; repeated rows stay or go together, are redacted, mixed and packed each; other
+columns pass through unchanged up to the last stage, whatever their names (those the stages
+use themselves begin with two underscores); an empty table gives no rows.
 """
 
 from __future__ import annotations
