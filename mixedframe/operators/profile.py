@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -192,9 +193,9 @@ def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
 def describe_structure(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Per column: position, type, rows, non-null rows, levels, smallest value.
 
-    Levels are counted exactly, unless ``approximate``.
+    Levels are counted exactly, unless ``approximate``: column by column, so that each count
+    reads and shuffles one narrow column, and combines before the shuffle.
     """
-    levels = F.approx_count_distinct if approximate else F.count_distinct
     atomic = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     entries = [
         F.struct(
@@ -203,12 +204,17 @@ def describe_structure(df: DataFrame, approximate: bool = False) -> DataFrame:
             F.lit(f.dataType.simpleString()).alias("type"),
             F.count("*").alias("n_rows"),
             F.count(F.col(f.name)).alias("n_present"),
-            (levels(F.col(f.name)) if f.name in atomic else F.lit(None).cast("long")).alias("n_levels"),
+            (F.approx_count_distinct(f.name) if approximate and f.name in atomic else F.lit(None).cast("long")).alias("n_levels"),
             (F.min(F.col(f.name)).cast("string") if f.name in atomic else F.lit(None).cast("string")).alias("example"),
         )
         for i, f in enumerate(df.schema)
     ]
-    return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+    described = df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+    if approximate or not atomic:
+        return described
+    counts = [df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count("*").alias("n_levels")).select(F.lit(c).alias("column"), "n_levels") for c in atomic]
+    levels = reduce(DataFrame.unionAll, counts)
+    return described.drop("n_levels").join(levels, "column", "left").select("position", "column", "type", "n_rows", "n_present", "n_levels", "example")
 
 
 def column_relation(df: DataFrame, a: str, b: str) -> DataFrame:
