@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .terms import texts_of
 
-ROOM = 32 << 20
-BUCKETS = 1 << 15
+ROOM = 8 << 20
+BUCKETS = 1 << 18
 AHEAD, DEEPEST = 10, 20
 HELD = 32 << 20
 HEAVY = 4096
