@@ -19,7 +19,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import key_hash
 from ..session import stage
 from .features import FEATURES, LABEL
 from .scoring import permuted
@@ -31,8 +30,9 @@ _CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in ran
 def times_drawn(key: str, tree: Column | int, seed: int = 1) -> Column:
     """How often a tree's bootstrap holds the row, a Poisson count with mean 1."""
     tree = tree if isinstance(tree, Column) else F.lit(tree)
-    u = F.pmod(F.xxhash64(F.lit(f"bag-{seed}"), tree, key_hash(key), F.col(key)), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    return sum((u >= float(below)).cast("int") for below in _CDF)
+    u = F.pmod(F.xxhash64(F.lit(f"bag-{seed}"), tree, F.col(key)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    # the variable of a lambda is worked out once, whatever number of comparisons share it
+    return F.transform(F.array(u), lambda v: sum((v >= float(below)).cast("int") for below in _CDF))[0]
 
 
 @dataclass
