@@ -31,6 +31,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -50,6 +52,8 @@ BLOCK_QUERIES = 16384
 # block pairs are heavy on processor time: up to so many tasks per shuffle partition
 TASKS_PER_PARTITION = 4
 PAIRS_PER_TASK = 8
+# visits are handed on in pieces of so many rows, since each repeats its vector
+VISIT_ROWS = 16_384
 # slack on the pruning bounds, relative to the distances involved and far above rounding error
 SLACK = 1e-12
 
@@ -64,6 +68,14 @@ def _whole(vector: str) -> Column:
     return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
 
 
+def _points(vectors: pa.Array) -> np.ndarray:
+    """A column of vectors, all of one length, as a matrix."""
+    lengths = pc.min_max(pc.list_value_length(vectors)).as_py() if len(vectors) else {"min": 0, "max": 0}
+    if lengths["min"] != lengths["max"]:
+        raise ValueError("vectors of different lengths")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), lengths["min"])
+
+
 def distances(queries: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Euclidean distances, summed feature by feature in order."""
     total = np.zeros((len(queries), len(refs)))
@@ -185,13 +197,13 @@ class NeighbourIndex:
             + [T.StructField("__cell", T.IntegerType()), T.StructField("__d", T.DoubleType())]
         )
 
-        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if len(batch):
-                    cell, d = index.locate(np.stack(batch["__v"].to_numpy()).astype(float))
-                    yield batch.assign(__cell=cell.astype("int32"), __d=d)
+                if batch.num_rows:
+                    cell, d = index.locate(_points(batch.column("__v")))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(d)], [*batch.schema.names, "__cell", "__d"])
 
-        self.refs = stage(distinct.drop("__copy").mapInPandas(assign, schema), "neighbours")
+        self.refs = stage(distinct.drop("__copy").mapInArrow(assign, schema), "neighbours")
         per_cell = self.refs.groupBy("__cell").agg(
             F.count("*").alias("n"), F.min("__d").alias("lo"), F.max("__d").alias("hi")
         ).toPandas()
@@ -226,16 +238,19 @@ class NeighbourIndex:
         cells, wanted = self.cells, self.wanted
         schema = T.StructType([*vectors.schema, T.StructField("__cell", T.IntegerType())])
 
-        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not len(batch):
+                if not batch.num_rows:
                     continue
-                points = np.stack(batch["__v"].to_numpy()).astype(float)
-                found = cells.home(points, wanted) if first else cells.others(points, batch["__bound"].to_numpy(float), wanted)
+                points = _points(batch.column("__v"))
+                found = cells.home(points, wanted) if first else cells.others(points, batch.column("__bound").to_numpy(zero_copy_only=False), wanted)
                 for row, cell in found:
-                    yield batch.iloc[row].assign(__cell=cell.astype("int32"))
+                    for at in range(0, len(row), VISIT_ROWS):
+                        piece = slice(at, at + VISIT_ROWS)
+                        columns = batch.take(pa.array(row[piece])).columns
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(cell[piece], pa.int32())], [*batch.schema.names, "__cell"])
 
-        return vectors.mapInPandas(spread, schema)
+        return vectors.mapInArrow(spread, schema)
 
     def _search(self, vectors: DataFrame, first: bool) -> DataFrame:
         """(__id, __dist, __key, payload): the best rows of each visited block, at most ``wanted`` each."""
