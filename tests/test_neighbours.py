@@ -84,6 +84,36 @@ def test_visited_share_falls_with_the_table(spark):
     assert share[8000] < 0.5 * share[500]
 
 
+def test_even_vectors_of_many_dimensions_visit_groups_of_cells(spark):
+    x = np.random.default_rng(8).normal(size=(1500, 24))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>").repartition(4)
+    index = NeighbourIndex("id", "v", 5, exclude_self=True, block_refs=200, block_queries=300).fit(df)
+    want, d = brute(x, x, 5, same=True)
+    got = index.join(df, "id").toPandas().sort_values(["id", "rank"])
+    assert got["ref_key"].to_numpy().reshape(-1, 5).tolist() == want.tolist()
+    bound = np.sort(d, axis=1)[:100, 4]
+    groups = index.cells.grouped(x[:100], bound, 6)
+    visits = lambda g: sum(len(row) for row, _ in index.cells.others(x[:100], bound, 6, g)) / 100
+    assert visits(None) > 30 and visits(groups) <= 16
+    flat = NeighbourIndex("id", ["a", "b"], 5).fit(frame(spark, x[:, :2]).toDF("id", "a", "b"))
+    assert flat.cells.grouped(x[:100, :2], np.full(100, 0.1), 5) is None
+
+
+def test_nearest_equals_brute_force_far_out_in_groups_and_within_bounds():
+    rng = np.random.default_rng(9)
+    x = 1e7 + np.round(rng.normal(size=(5000, 3)), 2)
+    x[7] = np.inf
+    fold = np.array([str(i % 3) for i in range(len(x))], object)
+    with np.errstate(invalid="ignore"):
+        d = np.sqrt(((x[:300, None] - x[None]) ** 2).sum(-1))
+    d[(fold[:300, None] == fold[None]) | ~np.isfinite(d)] = np.inf
+    bounds = np.sort(d, axis=1)[:, 2]
+    row, col, dist = (np.concatenate(p) for p in zip(*nearest(x[:300], x, 6, apart=(fold[:300], fold), bounds=bounds)))
+    order = np.argsort(d, axis=1, kind="stable")[:, :6]
+    want = [(i, int(j)) for i in range(300) for j in order[i] if d[i, j] <= bounds[i] and np.isfinite(d[i, j])]
+    assert list(zip(row.tolist(), col.tolist())) == want and dist == pytest.approx([d[w] for w in want])
+
+
 def test_rows_of_one_fold_are_no_neighbours(spark):
     x = cloud(300, 2, 3)
     fold = np.arange(300) % 5
