@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mixedframe.operators.impute import knn_impute, knn_impute_cv
-from mixedframe.operators.neighbours import NeighbourIndex, knn_classify, knn_join, nearest
+from mixedframe.operators.neighbours import Cells, NeighbourIndex, knn_classify, knn_join, nearest
 from mixedframe.models.evaluate import regression_metrics
 
 
@@ -114,6 +114,12 @@ def test_nearest_equals_brute_force_far_out_in_groups_and_within_bounds():
     assert list(zip(row.tolist(), col.tolist())) == want and dist == pytest.approx([d[w] for w in want])
 
 
+@pytest.mark.parametrize("cells", [1, 700, 65_536])
+def test_matrices_of_bounds_are_small(cells):
+    index = Cells(np.zeros((cells, 2)), *np.zeros((3, cells)))
+    assert 1 <= index._chunk() and index._chunk() * cells <= 262_144
+
+
 def test_rows_of_one_fold_are_no_neighbours(spark):
     x = cloud(300, 2, 3)
     fold = np.arange(300) % 5
