@@ -7,8 +7,10 @@ probability that falls with their distance (the family that Spark's own
 sample of the reference rows is compared with all of them, and the width grows until the
 sample finds ``recall`` of its true neighbours through shared buckets.
 
-Buckets are joined in blocks of bounded size on both sides, so one that holds most rows is
-many tasks, and each block keeps only the k best of each of its queries. A row without a
+Equal query vectors are searched once, and of equal reference vectors only the first few keys
+can be neighbours; the rest are dropped before the buckets. Buckets are joined in blocks of
+bounded size on both sides, so one that holds most rows is many tasks, and each block keeps
+only the k best of each of its queries. A row without a
 complete vector is no reference and, as a query, keeps one row without a neighbour.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import key_hash
 from ..session import stage
-from .neighbours import _vector, _whole, distances
+from .neighbours import _vector, _whole, distances, nearest
 
 SAMPLE = 256
 BLOCK = 8192
@@ -58,7 +60,9 @@ class BucketIndex:
         return df.select(F.col(key).alias(name), _vector(self.features).alias("v")).where(_whole("v"))
 
     def fit(self, ref: DataFrame) -> BucketIndex:
-        rows = stage(self._points(ref, self.key, "ref_key"), "points")
+        copies = W.partitionBy("v").orderBy("ref_key")
+        rows = self._points(ref, self.key, "ref_key").withColumn("copy", F.row_number().over(copies))
+        rows = stage(rows.where(F.col("copy") <= self.wanted).drop("copy"), "points")
         drawn = rows.select(key_hash("ref_key").alias("h"), "ref_key", "v").orderBy("h", "ref_key").limit(SAMPLE).collect()
         x = np.array([r.v for r in drawn], float).reshape(len(drawn), -1) if drawn else np.zeros((0, 0))
         rng = np.random.default_rng(self.seed)
@@ -101,6 +105,10 @@ class BucketIndex:
         true = self._true_neighbours(rows, x) if len(x) else {}
         gaps = [np.sqrt(((v - x[q]) ** 2).sum(axis=1)).max() for q, v in true.items()]
         positive = [g for g in gaps if g > 0]
+        if not positive:
+            # all true neighbours are copies, which share every bucket whatever the width: the narrowest strips compare least
+            apart = distances(x, x) if len(x) else np.zeros(0)
+            positive = [apart[apart > 0].min()] if (apart > 0).any() else []
         width, share = float(np.median(positive)) if positive else 1.0, 1.0
         for _ in range(4 * WIDEST if true else 0):
             own = _cells(x, self.ways, self.shifts, width)
@@ -126,9 +134,14 @@ class BucketIndex:
         kind = rows.schema[id_].dataType.simpleString()
         return rows.mapInArrow(place, f"table int, bucket long, {id_} {kind}, v array<double>")
 
+    def _asked(self, queries: DataFrame, key: str) -> DataFrame:
+        """Each distinct query vector once, under the smallest of its keys: (v, query_key)."""
+        return self._points(queries, key, "query_key").groupBy("v").agg(F.min("query_key").alias("query_key"))
+
     def join(self, queries: DataFrame, key: str) -> DataFrame:
         """(query key, ref_key, rank, distance): the k nearest reference rows found, ordered by distance, then reference key."""
-        asked = stage(self._bucketed(self._points(queries, key, "query_key"), "query_key"), "asked")
+        vectors = stage(self._asked(queries, key), "vectors")
+        asked = stage(self._bucketed(vectors, "query_key"), "asked")
         cell = ["table", "bucket"]
         sizes = self.refs.groupBy(*cell).agg(F.ceil(F.count("*") / self.block).cast("int").alias("__rb"))
         sizes = stage(sizes.join(asked.groupBy(*cell).agg(F.ceil(F.count("*") / self.block).cast("int").alias("__qb")), cell), "sizes")
@@ -144,29 +157,33 @@ class BucketIndex:
             if qs.num_rows and rs.num_rows:
                 rs = rs.sort_by("ref_key")
                 x, y = (np.array(t["v"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (qs, rs))
-                for at in range(0, len(x), 512):
-                    d = distances(x[at : at + 512], y)
-                    take = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    rows.append(np.repeat(np.arange(len(d)) + at, take.shape[1]))
-                    cols.append(take.ravel())
-                    found.append(np.take_along_axis(d, take, axis=1).ravel())
+                for row, col, distance in nearest(x, y, k):
+                    rows.append(row)
+                    cols.append(col)
+                    found.append(distance)
             join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
             at = lambda t, c, i: t[c].take(pa.array(join(i, np.int64)))
             return pa.table({"query_key": at(qs, "query_key", rows), "ref_key": at(rs, "ref_key", cols), "distance": pa.array(join(found, float))})
 
         keys = [*cell, "__q", "__r"]
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema).distinct()
-        if self.exclude_self:
-            found = found.where(F.col("query_key") != F.col("ref_key"))
         order = W.partitionBy("query_key").orderBy("distance", "ref_key")
-        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
-        keyed = queries.select(F.col(key).alias("__key"))
-        return keyed.join(best, F.col("__key") == F.col("query_key"), "left").select(F.col("__key").alias(key), "ref_key", "rank", "distance")
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        lists = best.groupBy("query_key").agg(F.array_sort(F.collect_list(F.struct("rank", "distance", "ref_key"))).alias("near"))
+        known = vectors.join(lists, "query_key").select(F.col("v").alias("known"), "near")
+        points = queries.select(F.col(key).alias("__key"), _vector(self.features).alias("v"))
+        result = points.join(known, F.col("v") == F.col("known"), "left")
+        near = F.col("near")
+        if self.exclude_self:
+            near = F.filter(near, lambda e: e["ref_key"] != F.col("__key"))
+        return result.select("__key", F.posexplode_outer(F.slice(near, 1, self.k)).alias("pos", "e")).select(
+            F.col("__key").alias(key), F.col("e.ref_key").alias("ref_key"), (F.col("pos") + 1).alias("rank"), F.col("e.distance").alias("distance")
+        )
 
     def visited_share(self, queries: DataFrame, key: str) -> float:
-        """Compared pairs over all pairs of a query and a reference row."""
+        """Compared pairs over all pairs of a distinct query vector and a reference row that is kept."""
         cell = ["table", "bucket"]
-        asked = self._bucketed(self._points(queries, key, "query_key"), "query_key")
+        asked = self._bucketed(self._asked(queries, key), "query_key")
         pairs = asked.groupBy(*cell).agg(F.count("*").alias("q")).join(self.refs.groupBy(*cell).agg(F.count("*").alias("r")), cell)
         n = (asked.count() // self.tables) * (self.refs.count() // self.tables)
         return (pairs.agg(F.sum(F.col("q").cast("double") * F.col("r"))).first()[0] or 0.0) / max(1, n)

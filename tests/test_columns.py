@@ -91,6 +91,19 @@ def test_equal_rows_missing_numbers_and_empty_tables(spark):
     assert none.count() == 202 and none.where("ref_key IS NOT NULL").count() == 0
 
 
+def test_copies_add_no_compared_pairs(spark):
+    rng = np.random.default_rng(11)
+    points = [(float(a), float(b)) for a, b in rng.random((300, 2))]
+    df = spark.createDataFrame([(i, *points[i % 300]) for i in range(9000)], "id long, a double, b double")
+    index = BucketIndex("id", ["a", "b"], 3, exclude_self=True).fit(df)
+    assert index.refs.count() == 300 * 4 * index.tables and index.visited_share(df, "id") < 0.1
+    got = index.join(df, "id").toPandas().sort_values(["id", "rank"])
+    assert len(got) == 3 * 9000 and (got["distance"] == 0).all()
+    # of thirty copies the first three others by key
+    want = [[i % 300 + 300 * c for c in range(4) if i % 300 + 300 * c != i][:3] for i in range(9000)]
+    assert got["ref_key"].to_numpy().reshape(-1, 3).tolist() == want
+
+
 def kernel_sum(values, grid, adjust=2.0, scale=2.0):
     values = np.asarray(values, float)
     q1, q3 = np.quantile(values, [0.25, 0.75])
