@@ -1,7 +1,8 @@
 """Forest whose bootstrap is known, so that every tree can be judged on the rows it has not seen.
 
 How often a tree draws a row is a Poisson count from a hash of row, tree and seed: any task can
-say it again, nothing is stored. A tree is fitted on the drawn rows, weighted by their counts;
+say it again, nothing is stored. A tree is fitted on the drawn rows, weighted by their counts,
+which are summed for rows that it cannot tell apart, ``TOGETHER`` trees in one pass;
 the rows it has not drawn, a third of all, are out of its bag.
 """
 
@@ -20,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .cells import RowCells
 from .features import FEATURES, LABEL
 from .scoring import permuted
 from .trees import StoredTree, trees_of
 
+TOGETHER = 16
 _CDF = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
 
 
@@ -49,16 +52,21 @@ class BaggedForest:
         """``vectors`` has the key, the label index and the feature vector, and should be stored: each tree reads it."""
         spark = vectors.sparkSession
 
-        def grow(t: int) -> StoredTree:
-            rows = vectors.select(LABEL, FEATURES, times_drawn(key, t, seed).cast("double").alias("__times")).where("__times > 0")
+        def grow(t: int, cells: RowCells, weight: str) -> StoredTree:
             single = RandomForestClassifier(
-                labelCol=LABEL, featuresCol=FEATURES, weightCol="__times", numTrees=1, bootstrap=False, subsamplingRate=1.0,
+                labelCol=LABEL, featuresCol=FEATURES, weightCol="__weight", numTrees=1, bootstrap=False, subsamplingRate=1.0,
                 featureSubsetStrategy=str(mtry), maxDepth=max_depth, maxBins=max_bins, seed=seed + t,
             )
-            return trees_of(spark, single.fit(rows))[0]
-
-        with ThreadPool(parallelism) as pool:
-            return cls(pool.map(grow, range(ntree)), key, seed)
+            return trees_of(spark, single.fit(cells.rows(weight=weight)))[0]
+
+        trees: list[StoredTree] = []
+        for first in range(0, ntree, TOGETHER):
+            numbers = range(first, min(ntree, first + TOGETHER))
+            cells = RowCells(vectors, max_bins, weights=[times_drawn(key, t, seed) for t in numbers])
+            with ThreadPool(parallelism) as pool:
+                trees += pool.starmap(grow, [(t, cells, w) for t, w in zip(numbers, cells.weights)])
+            cells.discard()
+        return cls(trees, key, seed)
 
     def _with_bags(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bags", F.transform(F.sequence(F.lit(0), F.lit(len(self.trees) - 1)), lambda t: times_drawn(self.key, t, self.seed) > 0))
