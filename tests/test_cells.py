@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from mixedframe.models import features
+from mixedframe.models import features, scoring
 from mixedframe.models.cells import RowCells
 from mixedframe.models.estimators import forest
 
@@ -30,3 +31,14 @@ def test_a_forest_on_cells_scores_the_rows_as_they_are(rows):
     model = features.fit_classifier(forest(9, 3, 6), rows, "status", ["cat", "x", "step"])
     right = model.transform(rows).agg(F.avg((F.col(features.PREDICTION) == F.col("status")).cast("double"))).first()[0]
     assert right > 0.97
+
+
+def test_partial_dependence_counts_rows_the_model_cannot_tell_apart(rows):
+    model = features.fit_classifier(forest(5, 3, 5), rows, "status", ["cat", "x", "step"])
+    assert scoring._told_apart(model, rows, "step").count() <= 3 * 33
+    got = {(r["class"], r.value): r.effect for r in scoring.partial_dependence(model, rows, "step", values=[0.0, 3.0]).collect()}
+    for value in (0.0, 3.0):
+        p = np.array([r[0] for r in model.transform(rows.withColumn("step", F.lit(value))).select(vector_to_array(features.SHARES)).collect()])
+        logs = np.log(np.maximum(p, scoring.EPSILON))
+        want = (logs - logs.mean(axis=1, keepdims=True)).mean(axis=0)
+        assert [got[c, value] for c in features.class_labels(model)] == pytest.approx(want.tolist())
