@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mixedframe.operators.impute import knn_impute, knn_impute_cv
-from mixedframe.operators.neighbours import Cells, NeighbourIndex, knn_classify, knn_join, nearest
+from mixedframe.operators.neighbours import Cells, NeighbourIndex, knn_classify, knn_join, nearest, vote
 from mixedframe.models.evaluate import regression_metrics
 
 
@@ -137,6 +137,14 @@ def test_vote_tie_breaks(spark):
     assert knn_classify(refs, queries, "id", ["f"], "l", 4).first().prediction == "near"
 
 
+def test_vote_is_taken_once_for_equal_queries(spark):
+    df = frame(spark, np.repeat(cloud(60, 2, 5, copies=False), 4, axis=0), y=np.array(list("abc") * 80), fold=np.arange(240) % 2)
+    index = NeighbourIndex("id", ["f0", "f1"], 5, ["y"], apart="fold").fit(df)
+    want = {(r.id, r.p) for r in vote(index.join(df, "id"), "id", "y", "p").collect()}
+    got = index.classify(df, "id", "y", "p", ["fold"]).collect()
+    assert {(r.id, r.p) for r in got} == want and len(got) == 240 and all(r.fold == r.id % 2 for r in got)
+
+
 def test_nearest_prefers_earlier_reference_on_ties():
     refs = np.zeros((6, 2))
     row, col, dist = (np.concatenate(p) for p in zip(*nearest(np.zeros((2, 2)), refs, 3)))
