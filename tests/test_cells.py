@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mixedframe.models import features, scoring
 from mixedframe.models.cells import RowCells
 from mixedframe.models.estimators import forest
+from mixedframe.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,28 @@ def test_a_forest_on_cells_scores_the_rows_as_they_are(rows):
     assert right > 0.97
 
 
+def test_trees_draw_single_rows_of_a_large_table(spark):
+    many = spark.range(1_300_000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("status"), (F.col("id") % 2).cast("double").alias("x"))
+    model = features.fit_classifier(forest(5, 1, 2), many, "status", ["x"])
+    path = scratch_path(spark, "forest")
+    model.stages[-2].write().save(path)
+    roots = spark.read.parquet(f"{path}/data").where("nodeData.id = 0").select("nodeData.impurityStats").collect()
+    drawn = np.array([list(r[0]) for r in roots])
+    assert drawn.shape == (5, 2) and (drawn == np.round(drawn)).all()
+    # Poisson counts: a deviation of sqrt(650,000) = 806
+    assert (abs(drawn - 650_000) < 5 * 806).all() and len(np.unique(drawn)) > 1
+
+
+def test_a_cell_of_many_rows_is_dealt_to_several_tasks(spark):
+    many = spark.range(400_001).select(F.lit("a").alias("status"), F.lit(1.0).alias("x"))
+    prepared = features.feature_pipeline(many, "status", ["x"]).fit(many)
+    cells = RowCells(prepared.transform(many).select(features.LABEL, features.FEATURES), 32)
+    tasks = cells.each_row().groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert cells.table.count() == 1 and sum(r["count"] for r in tasks) == 400_001
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 200_000
+    cells.discard()
+
+
 def test_partial_dependence_counts_rows_the_model_cannot_tell_apart(rows):
     model = features.fit_classifier(forest(5, 3, 5), rows, "status", ["cat", "x", "step"])
     assert scoring._told_apart(model, rows, "step").count() <= 3 * 33
